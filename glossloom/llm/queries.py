@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from glossloom.llm import decontaminate, line_dedup, substring_dedup
+from glossloom.llm import bpe, decontaminate, line_dedup, simhash_dedup, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.digest(simhash_dedup.near_duplicates(_read(spark, sf_dir, "documents")))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.removed_spans(_read(spark, sf_dir, "documents")))
 
@@ -24,4 +29,8 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.digest(decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op4_substring_dedup, op5_line_dedup, op7_benchmark_decontamination)}
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(bpe.encode(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
+
+
+QUERIES = {f.__name__: f for f in (op3_simhash_dedup, op4_substring_dedup, op5_line_dedup, op7_benchmark_decontamination, op8_byte_bpe)}

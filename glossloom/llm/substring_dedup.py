@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossloom.llm.common import NOT_SPACE, WindowHasher, checkpointed, find_words, sliding, text_blocks, word_hashes
+from glossloom.llm.common import NOT_SPACE, WindowHasher, checkpointed, find_words, mix, sliding, text_blocks, word_hashes
 from glossloom.llm.units import SENT, Sent, answer, flags_of, message_of, more_than_once, ranges_for, send, units, with_answers
 
 WINDOW = 35
@@ -98,7 +98,8 @@ class _Unit:
         self.anchored = [b.anchors() for b in self.blocks]
 
     def first(self) -> Sent:
-        return Sent(_join([h for _, h in self.anchored]))
+        # least hashes all begin with zeros; mixed again they are spread over the ranges
+        return Sent(mix(_join([h for _, h in self.anchored])))
 
     def second(self, flags: np.ndarray) -> Sent:
         self.kept = [at[f] for (at, _), f in zip(self.anchored, _cut(flags, [len(h) for _, h in self.anchored]), strict=True)]

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossloom.llm import ann, bpe, chat_format, decontaminate, html_extract, line_dedup, simhash_dedup, substring_dedup, url_filters
+from glossloom.llm import ann, bpe, chat_format, decontaminate, html_extract, line_dedup, quality_resample, simhash_dedup, substring_dedup, url_filters
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.formatted_parts(chat_format.events_of(talk)))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_resample.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.digest(simhash_dedup.near_duplicates(_read(spark, sf_dir, "documents")))
 
@@ -73,5 +77,5 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
-_ALL = (op1_chat_format, op3_simhash_dedup, op4_substring_dedup, op5_line_dedup, op6_url_filters, op7_benchmark_decontamination, op8_byte_bpe, op9_html_extraction, op10_nearest_neighbours)
+_ALL = (op1_chat_format, op2_quality_classifier, op3_simhash_dedup, op4_substring_dedup, op5_line_dedup, op6_url_filters, op7_benchmark_decontamination, op8_byte_bpe, op9_html_extraction, op10_nearest_neighbours)
 QUERIES = {f.__name__: f for f in _ALL}

@@ -15,6 +15,14 @@ the cell. A cell of very many fingerprints is not compared pair by pair: each
 looks the 2,081 values within two bits up, which is linear. Components come
 from alternating star steps; no links or groups are gathered.
 
+That is `near_duplicates`. `one_of_each` works for texts that share most of
+their shingles, which differ in far more bits than a grid can have groups for.
+It takes 128-bit fingerprints of five-word shingles, links at WIDE_DISTANCE
+bits, and has WIDE_CELLS grids, each of the counts of some ten segments; two
+texts of similarity 0.8 agree in one of them at least with a chance of 0.97.
+In a cell pairs are verified exactly, and nodes that a link has joined already
+are not compared with each other, so a group of copies stays cheap.
+
 Results: every row has a fingerprint; texts that are null, empty or blank have
 fingerprint zero, linked like any other. Rows of a null id take part; their
 component is the smallest id reachable, null if there is none. Equal rows are
@@ -32,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossloom.llm.common import checkpointed, components, signed, text_blocks
+from glossloom.llm.common import checkpointed, components, mix, signed, text_blocks
 from glossloom.llm.units import unpack, units, with_answers
 
 DISTANCE = 2
@@ -41,46 +49,57 @@ SEED = 42
 #: From this many fingerprints on, a cell is searched by looking neighbours up.
 LARGE_CELL = 4096
 _RUN = 8
+WIDE_SHINGLE, WIDE_WORDS, WIDE_DISTANCE, WIDE_CELLS, WIDE_SEGMENTS = 5, 2, 29, 80, 10
+#: Sets of fewer shingles are only as similar as 0.8 if they are equal, so they get a hash of the set.
+FEW = 9
+_SEED = 7
 _HALF = 0x5555555555555555
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprints_of(texts: list[str | None], shingle: int = SHINGLE) -> np.ndarray:
-    """SimHash of each text: a bit is set if it is in over half of the shingles' XXH64."""
+def fingerprints_of(texts: list[str | None], shingle: int = SHINGLE, words: int = 1) -> np.ndarray:
+    """SimHash of each text: a bit is set if it is in over half of the shingles' XXH64. More words than one take further hashes made from it; the result is (texts, words)."""
     digest, hashes, sizes = xxhash.xxh64_intdigest, [], []
-    totals = np.zeros((len(texts), 64), np.int64)
+    totals = np.zeros((len(texts), 64 * words), np.int64)
     at = []
 
     def count():
         if not hashes:
             return
-        rows = np.repeat(np.arange(len(at)), sizes)
-        for byte, column in enumerate(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8).T):
-            seen = np.bincount(rows * 256 + column, minlength=len(at) * 256).reshape(-1, 256)
-            totals[np.array(at), byte * 8 : byte * 8 + 8] += seen @ _BITS
+        rows, h = np.repeat(np.arange(len(at)), sizes), np.array(hashes, np.uint64)
+        for w in range(words):
+            own = h if not w else mix(h + np.uint64(w * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+            for byte, column in enumerate(own.view(np.uint8).reshape(-1, 8).T):
+                seen = np.bincount(rows * 256 + column, minlength=len(at) * 256).reshape(-1, 256)
+                totals[np.array(at), w * 64 + byte * 8 : w * 64 + byte * 8 + 8] += seen @ _BITS
         hashes.clear(), sizes.clear(), at.clear()
 
-    n = np.zeros(len(texts), np.int64)
+    n, few = np.zeros(len(texts), np.int64), {}
     for d, text in enumerate(texts):
-        words = (text or "").encode().lower().split()
-        if not words:
+        tokens = (text or "").encode().lower().split()
+        if not tokens:
             continue
-        joined = b" ".join(words)
-        ends = np.cumsum([len(w) + 1 for w in words]) - 1
+        joined = b" ".join(tokens)
+        ends = np.cumsum([len(w) + 1 for w in tokens]) - 1
         starts = np.concatenate([[0], ends[:-1] + 1])
-        k = min(shingle, len(words))
-        starts, ends = starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist()
+        k = min(shingle, len(tokens))
+        starts, ends = starts[: len(tokens) - k + 1].tolist(), ends[k - 1 :].tolist()
         n[d] = len(starts)
         for i in range(0, len(starts), 1 << 17):
             own = [digest(joined[a:b], SEED) for a, b in zip(starts[i : i + (1 << 17)], ends[i : i + (1 << 17)], strict=True)]
             hashes += own
             sizes.append(len(own))
             at.append(d)
-            if len(hashes) >= 1 << 17:
+            if words > 1 and n[d] < FEW:
+                few[d] = sum(set(own)) & (1 << 64) - 1
+            if len(hashes) >= 1 << 17 or len(at) >= 4096:
                 count()
     count()
     bits = (totals * 2 > n[:, None]).astype(np.uint8)
-    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
+    out = np.packbits(bits, axis=1, bitorder="little").view(np.uint64).reshape(len(texts), words)
+    for d, total in few.items():
+        out[d] = mix(np.array([total], np.uint64) + np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return out
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -88,7 +107,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches):
         for t in text_blocks(batches, "text"):
-            fp = fingerprints_of(t.batch["text"].to_pylist(), shingle)
+            fp = fingerprints_of(t.batch["text"].to_pylist(), shingle)[:, 0].copy()
             yield pa.RecordBatch.from_pydict({"doc_id": t.batch["doc_id"], "fp": pa.array(signed(fp))})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -147,9 +166,35 @@ def _cell_links(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(left), np.concatenate(right)
 
 
-def _links(batches, distance: int):
+def _wide_links(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join all of a cell that pairs within distance join. A first node and all near it are one; each other node is compared with them, and they no more with each other."""
+    left, right = [], []
+    rest = np.arange(len(fp))
+    while len(rest) > 1:
+        near = _bits_apart(fp[rest], fp[rest[0]]) <= distance
+        own, rest = rest[near], rest[~near]
+        left.append(own[1:])
+        right.append(np.repeat(own[0], len(own) - 1))
+        if len(own) == 1:
+            continue
+        for i in range(0, len(rest), 256):
+            part = rest[i : i + 256]
+            met = np.zeros(len(part), bool)
+            for j in range(1, len(own), 4096):
+                met |= (_bits_apart(fp[part][:, None], fp[own[j : j + 4096]][None]) <= distance).any(1)
+            left.append(part[met])
+            right.append(np.repeat(own[0], met.sum()))
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
+
+
+def _bits_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
+
+
+def _links(batches, distance: int, words: int = 1):
     """Links of each cell, of rows sorted by cell; a cell that goes over the end of a batch is carried on."""
     kept = None
+    find = _wide_links if words > 1 else lambda fp, d: _cell_links(fp[:, 0], d)
 
     def of(rows):
         cell, fp, node = rows
@@ -161,12 +206,12 @@ def _links(batches, distance: int):
         a, b = [], []
         for k in range(1, _RUN):
             i = np.flatnonzero((run[:-k] == run[k:]) & (size[:-k] <= _RUN)) if len(run) > k else np.zeros(0, np.int64)
-            i = i[np.bitwise_count(fp[i] ^ fp[i + k]) <= distance]
+            i = i[_bits_apart(fp[i], fp[i + k]) <= distance]
             a.append(node[i])
             b.append(node[i + k])
         for r in np.flatnonzero(np.diff(begins) > _RUN):
             own = slice(begins[r], begins[r + 1])
-            i, j = _cell_links(fp[own], distance)
+            i, j = find(fp[own], distance)
             label = _labels(begins[r + 1] - begins[r], i, j)
             moved = np.flatnonzero(label != np.arange(len(label)))
             a.append(node[own][moved])
@@ -175,35 +220,65 @@ def _links(batches, distance: int):
 
     for batch in batches:
         cell = np.stack([batch["choice"].to_numpy(zero_copy_only=False).astype(np.int64), batch["cell"].to_numpy()], 1)
-        rows = [cell, batch["fp"].to_numpy().view(np.uint64), batch["node"].to_numpy()]
+        fp = np.stack([batch[f"fp{w}" if w else "fp"].to_numpy().view(np.uint64) for w in range(words)], 1)
+        rows = [cell, fp, batch["node"].to_numpy()]
         if kept is not None:
             rows = [np.concatenate(x) for x in zip(kept, rows, strict=True)]
         if not len(rows[1]):
             continue
-        last = int(np.flatnonzero((rows[0] != rows[0][-1]).any(1))[-1]) + 1 if (rows[0] != rows[0][-1]).any() else 0
+        other = np.flatnonzero((rows[0] != rows[0][-1]).any(1))
+        last = int(other[-1]) + 1 if len(other) else 0
         yield from of([x[:last] for x in rows])
         kept = [x[last:] for x in rows]
     if kept is not None:
         yield from of(kept)
 
 
+def _counts_of(fp):
+    """The embedding: each two-bit segment holds its number of set bits."""
+    low, high = fp.bitwiseAND(F.lit(_HALF)), F.shiftrightunsigned(fp, 1).bitwiseAND(F.lit(_HALF))
+    return F.shiftleft(low.bitwiseAND(high), 1).bitwiseOR(low.bitwiseXOR(high))
+
+
+def _wide_masks() -> list[list[int]]:
+    """For each grid, the bits of each word's embedding that it is made of."""
+    rng = np.random.default_rng(_SEED)
+    picked = [rng.choice(32 * WIDE_WORDS, WIDE_SEGMENTS, replace=False).tolist() for _ in range(WIDE_CELLS)]
+    return [[sum(3 << 2 * (s % 32) for s in own if s // 32 == w) for w in range(WIDE_WORDS)] for own in picked]
+
+
+def _joined(prints: DataFrame, grid: DataFrame, nodes: DataFrame, fp: list[str], distance: int) -> DataFrame:
+    """prints with __node, the same for all of a component."""
+    links = grid.repartition("choice", "cell").sortWithinPartitions("choice", "cell", *fp).mapInArrow(lambda b: _links(b, distance, len(fp)), "a long, b long")
+    named = nodes.join(components(links), "node", "left").select(*fp, F.coalesce("component", "node").alias("__node"))
+    return prints.join(named, fp, "left")
+
+
+def _nodes(prints: DataFrame, fp: list[str]) -> DataFrame:
+    # a fingerprint that only rows without id have is named by itself, below all ids there may be
+    return checkpointed(prints.groupBy(*fp).agg(F.coalesce(F.min("doc_id"), F.lit(-(1 << 62)) - F.shiftrightunsigned(F.xxhash64(*fp), 2)).alias("node")))
+
+
 def linked(prints: DataFrame, *, distance: int = DISTANCE) -> DataFrame:
     """prints (doc_id, fp, more columns) with component_id for each row; and __node, which tells components apart where that is null."""
-    # a fingerprint that only rows without id have is named by itself, below all ids there may be
-    named = F.coalesce(F.min("doc_id"), F.lit(-(1 << 62)) - F.shiftrightunsigned("fp", 2))
-    nodes = checkpointed(prints.groupBy("fp").agg(named.alias("node")))
-    low, high = F.col("fp").bitwiseAND(F.lit(_HALF)), F.shiftrightunsigned("fp", 1).bitwiseAND(F.lit(_HALF))
-    counts = F.shiftleft(low.bitwiseAND(high), 1).bitwiseOR(low.bitwiseXOR(high))
+    nodes = _nodes(prints, ["fp"])
     cells = F.explode(F.array(*(F.struct(F.lit(i).alias("choice"), F.col("c").bitwiseAND(F.lit(_long(m))).alias("cell")) for i, m in enumerate(_masks(distance)))))
-    grid = nodes.select("fp", "node", counts.alias("c")).select("fp", "node", cells.alias("g")).select("g.choice", "g.cell", "fp", "node")
-    links = grid.repartition("choice", "cell").sortWithinPartitions("choice", "cell", "fp").mapInArrow(lambda b: _links(b, distance), "a long, b long")
-    found = components(links)
-    named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("__node"))
-    return prints.join(named, "fp", "left").withColumn("component_id", F.when(F.col("__node") > -(1 << 62) + (1 << 61), F.col("__node")))
+    grid = nodes.select("fp", "node", _counts_of(F.col("fp")).alias("c")).select("fp", "node", cells.alias("g")).select("g.choice", "g.cell", "fp", "node")
+    return _joined(prints, grid, nodes, ["fp"], distance).withColumn("component_id", F.when(F.col("__node") > -(1 << 62) + (1 << 61), F.col("__node")))
+
+
+def similar(prints: DataFrame, *, distance: int = WIDE_DISTANCE) -> DataFrame:
+    """prints (doc_id, fp, fp1, more columns) with __node."""
+    fp = ["fp", *(f"fp{w}" for w in range(1, WIDE_WORDS))]
+    nodes = _nodes(prints, fp)
+    counts = nodes.select(*fp, "node", *(_counts_of(F.col(f)).alias(f"c{w}") for w, f in enumerate(fp)))
+    cells = F.explode(F.array(*(F.struct(F.lit(i).alias("choice"), F.xxhash64(*(F.col(f"c{w}").bitwiseAND(F.lit(_long(m))) for w, m in enumerate(own))).alias("cell")) for i, own in enumerate(_wide_masks()))))
+    grid = counts.select(*fp, "node", cells.alias("g")).select("g.choice", "g.cell", *fp, "node")
+    return _joined(prints, grid, nodes, fp, distance)
 
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
-    """docs, all columns as they are, with one row of each component."""
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", distance: int = WIDE_DISTANCE, shingle: int = WIDE_SHINGLE) -> DataFrame:
+    """docs, all columns as they are, with one row of each component of similar texts."""
     packed = units(docs)
 
     def run(batches):
@@ -211,14 +286,16 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             for unit, blob in zip(batch["unit"].to_pylist(), batch["blob"], strict=True):
                 at = 0
                 for rows in unpack(blob.as_buffer()):
-                    fp = fingerprints_of(rows.column(text_col).to_pylist(), shingle)
-                    yield pa.RecordBatch.from_pydict({"unit": pa.array([unit] * len(fp), pa.int64()), "place": pa.array(np.arange(at, at + len(fp))), "doc_id": rows.column(id_col).cast(pa.int64()), "fp": pa.array(signed(fp))})
+                    fp = fingerprints_of(rows.column(text_col).to_pylist(), shingle, WIDE_WORDS)
+                    out = {"unit": pa.array([unit] * len(fp), pa.int64()), "place": pa.array(np.arange(at, at + len(fp))), "doc_id": rows.column(id_col).cast(pa.int64())}
+                    yield pa.RecordBatch.from_pydict(out | {f"fp{w}" if w else "fp": pa.array(signed(fp[:, w].copy())) for w in range(WIDE_WORDS)})
                     at += len(fp)
 
-    prints = checkpointed(packed.select("unit", "blob").mapInArrow(run, "unit long, place long, doc_id long, fp long"))
+    schema = "unit long, place long, doc_id long, fp long" + "".join(f", fp{w} long" for w in range(1, WIDE_WORDS))
+    prints = checkpointed(packed.select("unit", "blob").mapInArrow(run, schema))
     # null ids last
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "unit", "place")).alias("first")
-    stay = linked(prints, distance=distance).groupBy("__node").agg(first).select("first.unit", F.lit(0).alias("level"), F.col("first.place").alias("part"), F.lit(b"").alias("flags"))
+    stay = similar(prints, distance=distance).groupBy("__node").agg(first).select("first.unit", F.lit(0).alias("level"), F.col("first.place").alias("part"), F.lit(b"").alias("flags"))
 
     def keep(_unit, batches, found):
         at = 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from glossloom.plans import exports, queries
+
 FLAGSHIP = "exact_run_links"
-QUERIES: dict = {}
-ORACLES: dict = {}
+QUERIES = queries.QUERIES | exports.QUERIES
+ORACLES = queries.ORACLES | exports.ORACLES

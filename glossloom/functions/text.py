@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from glossloom.profiles import DASHES, GEMARA_NAMES, HEBREW, IBID, LEMMA_MARKS, MISHNA_NAMES, RASHI_NAMES, SPACES, TOSAFOT_NAMES, Script
+from glossloom.profiles import DASHES, GEMARA_NAMES, HEBREW, IBID, LEMMA_MARKS, MISHNA_NAMES, NUMERALS, RASHI_NAMES, SPACES, TOSAFOT_NAMES, VOWEL_CLASSES, Script
 
 _S = f"[{SPACES}]"
 HEADER = r"(?i)<h[1-6][^>]*>.*</h[1-6]>"
@@ -131,33 +131,47 @@ def is_ibid(raw: Column) -> Column:
     return normalized(raw).rlike(f"^(?:שם )?(?:{_any_of(IBID)})(?: |$|[:.\\-])")
 
 
-def numbering(raw: Column) -> Column:
-    """The letters of a leading (א) [א] {א} א) א] א. if they are a descending numeral, else null."""
+def number_letters(raw: Column) -> Column:
+    """The letters of a leading (א) [א] {א} א) א] א. - or nothing."""
     letters = "[א-ת]{1,3}(?:[\"'׳״][א-ת]{1,2})?"
     lead = f"(?:{_S}|#{{1,6}}{_S}|<[^>]*>)*"
     found = F.regexp_extract(raw, rf"^{lead}(?:[(\[{{]{_S}*({letters}){_S}*[)\]}}]|({letters}){_S}*[)\]}}.])", 0)
-    bare = F.regexp_replace(F.regexp_replace(found, "<[^>]*>", ""), "[^א-ת]", "")
-    from glossloom.profiles import NUMERALS
+    return F.regexp_replace(F.regexp_replace(found, "<[^>]*>", ""), "[^א-ת]", "")
+
+
+def is_numeral(letters: Column) -> Column:
+    """Are the letters a number, each worth less than the one before?"""
+    value = "".join(chr(97 + i) for i in range(len(NUMERALS)))
+    ranked = F.translate(letters, "".join(NUMERALS), value)
+    places = F.sequence(F.lit(1), F.length(letters))
+    falls = F.forall(places, lambda i: (i == 1) | (F.substring(ranked, i, F.lit(1)) < F.substring(ranked, i - 1, F.lit(1))))
+    return F.when(letters.rlike("^[אבגדהוזחטיכלמנסעפצקרשת]+$"), falls).otherwise(False)
+
+
+def numbering(raw: Column) -> Column:
+    """The letters of a leading number if they are a descending numeral, else null."""
+    letters = number_letters(raw)
+    return F.when(is_numeral(letters), letters)
+
+
+def lemma_points(line: Column) -> Column:
+    """Place (from 1; 0: nowhere) of the first dash with a space at its side, or points before a space."""
+    return F.regexp_instr(line, F.lit(f"{_S}[{DASHES}]|[{DASHES}]{_S}|[.:;\u05c3]+(?={_S}|$)"))
 
-    value = F.create_map(*(x for k, v in NUMERALS.items() for x in (F.lit(k), F.lit(v))))
-    values = F.transform(F.filter(F.split(bare, ""), lambda x: x != ""), lambda x: F.element_at(value, x))
-    falls = F.forall(F.sequence(F.lit(1), F.size(values)), lambda i: (i == 1) | (F.element_at(values, i) < F.element_at(values, F.greatest(i - 1, F.lit(1)))))
-    return F.when((bare != "") & falls, bare)
+
+def lemma_dots(line: Column) -> Column:
+    """Place of the first ellipsis word, counted alike."""
+    return F.regexp_instr(line, F.lit(f"(?:^|{_S})(?:ו?כו['׳]|וגו['׳]|וגומר|וכולי)(?:{_S}|$|[.,:;])"))
 
 
 def lemma_end(line: Column) -> Column:
-    """Place (from 0) of the first dash with a space at its side, or points before a space, or an ellipsis word; null if at the start or absent."""
-    at = lambda p: F.nullif(F.expr("0") + F.regexp_instr(line, F.lit(p)), F.lit(0))
-    points = at(f"{_S}[{DASHES}]|[{DASHES}]{_S}|[.:;\u05c3]+(?={_S}|$)")
-    dots = at(f"(?:^|{_S})(?:ו?כו['׳]|וגו['׳]|וגומר|וכולי)(?:{_S}|$|[.,:;])")
-    cut = F.least(F.coalesce(points, dots), F.coalesce(dots, points)) - 1
-    return F.when((cut > 0) & (trimmed(F.substring(line, F.lit(1), cut)) != ""), cut)
+    """Characters before whichever comes first; null if it is at the start, after blanks only, or absent."""
+    first = F.least(F.nullif(lemma_points(line), F.lit(0)), F.nullif(lemma_dots(line), F.lit(0))) - 1
+    return F.when((first > 0) & (trimmed(F.substring(line, F.lit(1), first)) != ""), first)
 
 
 def vowel_print(word: Column) -> Column:
     """Vowel classes of a pointed word, one letter each."""
-    from glossloom.profiles import VOWEL_CLASSES
-
     marks = "".join(VOWEL_CLASSES.values())
     classes = "".join(k * len(v) for k, v in VOWEL_CLASSES.items())
     return F.translate(F.regexp_replace(word, f"[^{marks}]", ""), marks, classes)

@@ -80,7 +80,7 @@ class Sent:
     """Distinct hashes of one unit in sending order. keys is an array of rows of one or two 64-bit columns."""
 
     def __init__(self, keys: np.ndarray, weights: np.ndarray | None = None):
-        keys = keys.reshape(len(keys), -1)
+        keys = keys[:, None] if keys.ndim == 1 else keys
         order = np.lexsort(keys.T[::-1]) if keys.shape[1] > 1 else np.argsort(keys[:, 0], kind="stable")
         at = keys[order]
         fresh = np.ones(len(at), bool)

@@ -27,7 +27,7 @@ def entries(raw: DataFrame, column: str = "value") -> DataFrame:
     pairs = raw.select(F.explode(F.from_json(F.col(column), "map<string,string>")).alias("key", "value"))
     many = F.from_json("value", "array<string>")
     options = F.when(F.ltrim("value").startswith("["), many).otherwise(F.array("value"))
-    kept = F.filter(F.transform(options, F.trim), lambda o: o != "")
+    kept = F.filter(F.transform(options, lambda o: F.trim(o)), lambda o: o != "")
     return pairs.select("key", kept.alias("options")).where((F.col("key") != "") & (F.size("options") > 0))
 
 

@@ -7,7 +7,7 @@ contracts it, and so on until no word has a pair left; ordered aggregation
 gives the ids. Decoding joins position rows with the vocabulary and aggregates
 their bytes in order.
 
-A word's ids depend on the word alone, so a worker keeps those it met last, in
+A word's ids depend on the word alone, so a task keeps those it met last, in
 two generations of bounded size. Words over LONG_BYTES take a variant of the
 recursion that keeps only the last state of each position and contracts all of
 a word's pairs of least rank at once, wherever that provably equals doing it
@@ -31,22 +31,25 @@ from pyspark.sql import functions as F
 
 from glossloom.llm.common import text_blocks
 
-#: Words one generation of a worker's memory holds.
-KNOWN_WORDS = 200_000
+#: Words one generation of a task's memory holds.
+KNOWN_WORDS = 400_000
 #: Words that go to DuckDB together, and bytes that they have at most together.
 BATCH_WORDS, BATCH_BYTES = 30_000, 400_000
+#: Texts that are cut into words together.
+TEXT_BYTES = 4 << 20
 LONG_BYTES = 64
 
+# a word and a position in it are one number, 128 * word + position, which sorts fastest
 _STEP = """
-WITH RECURSIVE t(step, w, pos, tok) AS (
-  SELECT 0, w, pos, tok FROM given
+WITH RECURSIVE t(step, k, tok) AS (
+  SELECT 0, w::BIGINT * 128 + pos, tok FROM given
   UNION ALL (
-    WITH pairs AS (SELECT step, w, pos, tok, lead(tok) OVER word AS next_tok, lead(pos) OVER word AS next_pos FROM t WINDOW word AS (PARTITION BY w ORDER BY pos)),
-    best AS (SELECT w, min(struct_pack(rank := merged, pos := pos, gone := next_pos)) AS b FROM pairs JOIN merges ON tok = l AND next_tok = r GROUP BY w)
-    SELECT step + 1, w, pairs.pos, CASE WHEN pairs.pos = b.pos THEN b.rank ELSE tok END FROM pairs JOIN best USING (w) WHERE pairs.pos <> b.gone
+    WITH pairs AS (SELECT step, k, tok, lead(tok) OVER row AS next_tok, lead(k) OVER row AS next_k, lag(k) OVER row AS before FROM t WINDOW row AS (ORDER BY k)),
+    best AS (SELECT k // 128 AS w, min(merged::BIGINT * 128 + k % 128) AS b FROM pairs JOIN merges ON tok = l AND next_tok = r WHERE k // 128 = next_k // 128 GROUP BY k // 128)
+    SELECT step + 1, k, CASE WHEN k % 128 = b % 128 THEN (b // 128)::INT ELSE tok END FROM pairs JOIN best ON k // 128 = w WHERE before IS DISTINCT FROM w * 128 + b % 128
   )
 )
-SELECT w, pos, tok FROM (SELECT *, max(step) OVER (PARTITION BY w) AS last FROM t) WHERE step = last
+SELECT (k // 128)::INT AS w, (k % 128)::INT AS pos, tok FROM t JOIN (SELECT k // 128 AS w, max(step) AS last FROM t GROUP BY 1) ended ON ended.w = k // 128 AND step = last
 """
 
 # tok is -1 where a position was contracted away. `pick` holds the pairs of least rank to contract, every second
@@ -82,6 +85,7 @@ class Tokenizer:
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.split = regex.compile(pattern).findall
+        self.whole = {t: str(rank) for t, rank in ranks.items()}
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         merges = [(ranks[t[:i]], ranks[t[i:]], rank) for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
@@ -104,8 +108,9 @@ class Tokenizer:
     def encode_words(self, words: list[str]) -> dict[str, str]:
         """Ids of distinct words, joined by commas."""
         raw = [w.encode() for w in words]
-        found = {}
-        order = sorted(range(len(words)), key=lambda i: len(raw[i]))
+        # a word that is a token is not contracted, as the tiktoken library does it
+        found = {w: ids for w, r in zip(words, raw, strict=True) if (ids := self.whole.get(r)) is not None}
+        order = sorted((i for i in range(len(words)) if words[i] not in found), key=lambda i: len(raw[i]))
         at = 0
         while at < len(order):
             to, size, long = at, 0, len(raw[order[at]]) > LONG_BYTES
@@ -129,14 +134,8 @@ class Tokenizer:
         texts = list(texts)
         cut = [self.split(t) for t in texts]
         need = set().union(*cut) if cut else set()
-        here = {}
-        missing = []
-        for w in need:
-            if (ids := self.young.get(w) or self.old.get(w)) is None:
-                missing.append(w)
-            else:
-                here[w] = ids
-        here |= self.encode_words(missing)
+        here = {w: ids for w in need if (ids := self.young.get(w) or self.old.get(w)) is not None}
+        here |= self.encode_words([w for w in need if w not in here])
         if len(self.young) > KNOWN_WORDS:
             self.old, self.young = self.young, {}
         self.young.update((w, ids) for w, ids in here.items() if len(w) <= LONG_BYTES)
@@ -173,7 +172,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
 
     def run(batches):
         tok = tokenizer(ranks_path, pattern)
-        for t in text_blocks(batches, "text"):
+        for t in text_blocks(batches, "text", TEXT_BYTES):
             done = tok.encode(x or "" for x in t.batch["text"].to_pylist())
             yield pa.RecordBatch.from_pydict({"doc_id": t.batch["doc_id"], "n_tokens": pa.array([ids.count(",") + 1 if ids else 0 for ids, _ in done], pa.int64()), "token_ids": pa.array([ids for ids, _ in done], pa.string()), "decoded": pa.array([x for _, x in done], pa.binary())})
 

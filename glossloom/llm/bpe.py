@@ -33,6 +33,8 @@ from glossloom.llm.common import text_blocks
 
 #: Words one generation of a task's memory holds.
 KNOWN_WORDS = 400_000
+#: Words met repeatedly that a worker keeps for its next task.
+COMMON_WORDS = 100_000
 #: Words that go to DuckDB together, and bytes that they have at most together.
 BATCH_WORDS, BATCH_BYTES = 30_000, 400_000
 #: Texts that are cut into words together.
@@ -96,6 +98,7 @@ class Tokenizer:
         self.db.unregister("v")
         self.young: dict[str, str] = {}
         self.old: dict[str, str] = {}
+        self.common: set[str] = set()
         self.odd: dict[str, bytes] = {}  # words that decode to other bytes than their own; there should be none
 
     def _query(self, sql: str, w: np.ndarray, pos: np.ndarray, tok: np.ndarray) -> pa.Table:
@@ -135,6 +138,8 @@ class Tokenizer:
         cut = [self.split(t) for t in texts]
         need = set().union(*cut) if cut else set()
         here = {w: ids for w in need if (ids := self.young.get(w) or self.old.get(w)) is not None}
+        if len(self.common) < COMMON_WORDS:
+            self.common.update(here)
         here |= self.encode_words([w for w in need if w not in here])
         if len(self.young) > KNOWN_WORDS:
             self.old, self.young = self.young, {}
@@ -143,6 +148,11 @@ class Tokenizer:
         self.odd.clear() if len(self.odd) > KNOWN_WORDS else None
         return out
 
+    def forget(self) -> None:
+        """All but words met repeatedly."""
+        self.young = {w: ids for w in self.common if len(w) <= LONG_BYTES and (ids := self.young.get(w) or self.old.get(w)) is not None}
+        self.old, self.odd, self.common = {}, {}, set()
+
     def decode(self, ids: list[list[int]]) -> list[bytes]:
         """The bytes of each list of ids."""
         lengths = np.array([len(x) for x in ids], np.int64)
@@ -172,9 +182,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
 
     def run(batches):
         tok = tokenizer(ranks_path, pattern)
-        for t in text_blocks(batches, "text", TEXT_BYTES):
-            done = tok.encode(x or "" for x in t.batch["text"].to_pylist())
-            yield pa.RecordBatch.from_pydict({"doc_id": t.batch["doc_id"], "n_tokens": pa.array([ids.count(",") + 1 if ids else 0 for ids, _ in done], pa.int64()), "token_ids": pa.array([ids for ids, _ in done], pa.string()), "decoded": pa.array([x for _, x in done], pa.binary())})
+        try:
+            for t in text_blocks(batches, "text", TEXT_BYTES):
+                done = tok.encode(x or "" for x in t.batch["text"].to_pylist())
+                yield pa.RecordBatch.from_pydict({"doc_id": t.batch["doc_id"], "n_tokens": pa.array([ids.count(",") + 1 if ids else 0 for ids, _ in done], pa.int64()), "token_ids": pa.array([ids for ids, _ in done], pa.string()), "decoded": pa.array([x for _, x in done], pa.binary())})
+        finally:
+            # the process may serve other operators for hours
+            tok.forget()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, token_ids string, decoded binary")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts of one numpy block together hold at most this many bytes, unless one text alone is longer.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _MASK = (1 << 64) - 1
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)

@@ -50,6 +50,8 @@ SEED = 42
 LARGE_CELL = 4096
 _RUN = 8
 WIDE_SHINGLE, WIDE_WORDS, WIDE_DISTANCE, WIDE_CELLS, WIDE_SEGMENTS = 5, 2, 29, 80, 10
+#: So many grids are searched before the rest.
+WIDE_FIRST = 12
 #: Sets of fewer shingles are only as similar as 0.8 if they are equal, so they get a hash of the set.
 FEW = 9
 _SEED = 7
@@ -216,7 +218,8 @@ def _links(batches, distance: int, words: int = 1):
             moved = np.flatnonzero(label != np.arange(len(label)))
             a.append(node[own][moved])
             b.append(node[own][label[moved]])
-        yield pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
+        a, b = np.concatenate(a), np.concatenate(b)
+        yield pa.RecordBatch.from_pydict({"a": pa.array(a[a != b]), "b": pa.array(b[a != b])})
 
     for batch in batches:
         cell = np.stack([batch["choice"].to_numpy(zero_copy_only=False).astype(np.int64), batch["cell"].to_numpy()], 1)
@@ -247,11 +250,10 @@ def _wide_masks() -> list[list[int]]:
     return [[sum(3 << 2 * (s % 32) for s in own if s // 32 == w) for w in range(WIDE_WORDS)] for own in picked]
 
 
-def _joined(prints: DataFrame, grid: DataFrame, nodes: DataFrame, fp: list[str], distance: int) -> DataFrame:
-    """prints with __node, the same for all of a component."""
+def _linked_nodes(grid: DataFrame, nodes: DataFrame, fp: list[str], distance: int) -> DataFrame:
+    """nodes with the smallest node that each reaches by links of the grid's cells."""
     links = grid.repartition("choice", "cell").sortWithinPartitions("choice", "cell", *fp).mapInArrow(lambda b: _links(b, distance, len(fp)), "a long, b long")
-    named = nodes.join(components(links), "node", "left").select(*fp, F.coalesce("component", "node").alias("__node"))
-    return prints.join(named, fp, "left")
+    return nodes.join(components(links), "node", "left").select(*fp, F.coalesce("component", "node").alias("node"))
 
 
 def _nodes(prints: DataFrame, fp: list[str]) -> DataFrame:
@@ -264,17 +266,22 @@ def linked(prints: DataFrame, *, distance: int = DISTANCE) -> DataFrame:
     nodes = _nodes(prints, ["fp"])
     cells = F.explode(F.array(*(F.struct(F.lit(i).alias("choice"), F.col("c").bitwiseAND(F.lit(_long(m))).alias("cell")) for i, m in enumerate(_masks(distance)))))
     grid = nodes.select("fp", "node", _counts_of(F.col("fp")).alias("c")).select("fp", "node", cells.alias("g")).select("g.choice", "g.cell", "fp", "node")
-    return _joined(prints, grid, nodes, ["fp"], distance).withColumn("component_id", F.when(F.col("__node") > -(1 << 62) + (1 << 61), F.col("__node")))
+    named = _linked_nodes(grid, nodes, ["fp"], distance).withColumnRenamed("node", "__node")
+    return prints.join(named, "fp", "left").withColumn("component_id", F.when(F.col("__node") > -(1 << 62) + (1 << 61), F.col("__node")))
 
 
 def similar(prints: DataFrame, *, distance: int = WIDE_DISTANCE) -> DataFrame:
     """prints (doc_id, fp, fp1, more columns) with __node."""
     fp = ["fp", *(f"fp{w}" for w in range(1, WIDE_WORDS))]
     nodes = _nodes(prints, fp)
-    counts = nodes.select(*fp, "node", *(_counts_of(F.col(f)).alias(f"c{w}") for w, f in enumerate(fp)))
-    cells = F.explode(F.array(*(F.struct(F.lit(i).alias("choice"), F.xxhash64(*(F.col(f"c{w}").bitwiseAND(F.lit(_long(m))) for w, m in enumerate(own))).alias("cell")) for i, own in enumerate(_wide_masks()))))
-    grid = counts.select(*fp, "node", cells.alias("g")).select("g.choice", "g.cell", *fp, "node")
-    return _joined(prints, grid, nodes, fp, distance)
+    masks = list(enumerate(_wide_masks()))
+    # a group of copies hangs together after a few grids; the others then only link what is not linked yet
+    for own in (masks[:WIDE_FIRST], masks[WIDE_FIRST:]):
+        counts = nodes.select(*fp, "node", *(_counts_of(F.col(f)).alias(f"c{w}") for w, f in enumerate(fp)))
+        cells = F.explode(F.array(*(F.struct(F.lit(i).alias("choice"), F.xxhash64(*(F.col(f"c{w}").bitwiseAND(F.lit(_long(m))) for w, m in enumerate(mask))).alias("cell")) for i, mask in own)))
+        grid = counts.select(*fp, "node", cells.alias("g")).select("g.choice", "g.cell", *fp, "node")
+        nodes = checkpointed(_linked_nodes(grid, nodes, fp, distance))
+    return prints.join(nodes.withColumnRenamed("node", "__node"), fp, "left")
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", distance: int = WIDE_DISTANCE, shingle: int = WIDE_SHINGLE) -> DataFrame:

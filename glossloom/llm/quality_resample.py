@@ -4,8 +4,9 @@ Two generative models over hashed n-grams are counted in one scan: the raw one
 over all documents, the target one over those that a sample of labels marks as
 good and not toxic. The sample has at most `label_rows` rows, taken by hash of
 the id, and of near copies in it one stays. N-grams are tokens - words,
-lower-cased, or runs of punctuation - and pairs of equal tokens, which are all
-one n-gram. Models count documents that hold an n-gram, in two tables of 2^18
+lower-cased, or runs of punctuation -, the first bytes of longer ones, for words
+that are only ever inflected, and eight equal tokens in a row, which are all one
+n-gram. Models count documents that hold an n-gram, in two tables of 2^18
 buckets with independent hashes, so that an n-gram shares both of its buckets
 with hardly any other.
 
@@ -52,6 +53,9 @@ SHARPNESS = 20.0
 CHANCE, SHARE = 1e-6, 0.2
 SEED = 42
 
+#: Bytes of a longer token that are an n-gram too, and how many equal tokens in a row are one.
+BEGINNING, REPEATS = 4, 8
+
 _SIZE = 1 << BUCKET_BITS
 _CHUNK = 4096
 _SKETCH = 4
@@ -59,25 +63,31 @@ _WORD = byte_class([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B),
 _MARK = ~_WORD & ~byte_class([*range(0x21), 0x7F])
 
 
-def _tokens(texts) -> tuple[np.ndarray, Words]:
-    """Hashes and places of words and runs of punctuation, in order."""
+def _tokens(texts) -> tuple[np.ndarray, np.ndarray, Words]:
+    """Hashes and places of words and runs of punctuation, in order, and hashes of the tokens' first bytes."""
     data = LOWER[texts.data]
     parts = [find_words(data, texts.offsets, table) for table in (_WORD, _MARK)]
     starts = np.concatenate([p.starts for p in parts])
     order = np.argsort(starts, kind="stable")
     starts = starts[order]
     words = Words(starts, np.concatenate([p.ends for p in parts])[order], np.searchsorted(starts, texts.offsets))
-    return word_hashes(data, words), words
+    begins = word_hashes(data, words._replace(ends=np.minimum(words.ends, words.starts + BEGINNING)))
+    return word_hashes(data, words), begins, words
 
 
 def grams(texts) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams of a block's documents: the document of each, and its bucket in each table (tables, n)."""
-    h, words = _tokens(texts)
+    h, begins, words = _tokens(texts)
     doc = np.repeat(np.arange(len(texts)), words.counts)
-    same = np.flatnonzero((doc[:-1] == doc[1:]) & (h[:-1] == h[1:])) if len(doc) else np.zeros(0, np.int64)
+    n = max(0, len(h) - REPEATS + 1)
+    same = doc[:n] == doc[len(doc) - n :]
+    for k in range(1, REPEATS):
+        same &= h[:n] == h[k : n + k]
+    same = np.flatnonzero(same)
+    long = np.flatnonzero(words.ends - words.starts > BEGINNING)
     # the leading bits are the first table's bucket, the next ones the second's
-    both = np.concatenate([h >> np.uint64(64 - 2 * BUCKET_BITS), np.full(len(same), 1, np.uint64)])
-    met = np.unique(np.concatenate([doc, doc[same]]).astype(np.uint64) << np.uint64(2 * BUCKET_BITS) | both)
+    every = np.concatenate([h, mix(begins[long] + np.uint64(1)), np.full(len(same), 1, np.uint64)]) >> np.uint64(64 - 2 * BUCKET_BITS)
+    met = np.unique(np.concatenate([doc, doc[long], doc[same]]).astype(np.uint64) << np.uint64(2 * BUCKET_BITS) | every)
     low = (met & np.uint64((1 << 2 * BUCKET_BITS) - 1)).astype(np.int64)
     return (met >> np.uint64(2 * BUCKET_BITS)).astype(np.int64), np.stack([low >> BUCKET_BITS, low & _SIZE - 1])
 
@@ -94,7 +104,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, quality_col: str,
 
     def sketch(batches):
         for t in text_blocks(batches, "text"):
-            h, words = _tokens(t)
+            h, _, words = _tokens(t)
             three = mix(h[:-2] * np.uint64(3) + mix(h[1:-1] * np.uint64(5) + h[2:])) if len(h) > 2 else np.zeros(0, np.uint64)
             out = []
             for d in range(len(t)):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -29,23 +30,33 @@ def strip_markup(c: Column) -> Column:
     return F.when(c.contains("<"), trimmed(out)).otherwise(c)
 
 
+_SINGLE, _DOUBLE = "׳'’‘´", '״"“”″‟„'
+
+
 def plain_quotes(c: Column) -> Column:
-    out = F.regexp_replace(c, "[׳'’‘´]{2}", '"')
-    return F.regexp_replace(F.regexp_replace(out, "[׳'’‘´]", "'"), '[״"“”″‟„]', '"')
+    """Quotes of all kinds as ' and "; two single ones are a double one."""
+    single = F.translate(c, _SINGLE, "'" * len(_SINGLE))
+    return F.translate(F.replace(single, F.lit("''"), F.lit('"')), _DOUBLE, '"' * len(_DOUBLE))
 
 
 def strip_edge_quotes(c: Column) -> Column:
     """Quotes that open a word, and double quotes that close one, also before points."""
-    out = F.regexp_replace(c, f"(^|{_S})[\"']+", "$1")
-    return F.regexp_replace(out, f'"+([.:]*(?:{_S}|$))', "$1")
+    return F.regexp_replace(c, f"(^|{_S})[\"']+|\"+(?=[.:]*(?:{_S}|$))", "$1")
+
+
+def _each(char_class: str) -> str:
+    """The characters of a class of ranges and single ones."""
+    parts = re.findall("(.)-(.)|(.)", char_class, re.S)
+    return "".join("".join(map(chr, range(ord(a), ord(b) + 1))) if a else one for a, b, one in parts)
 
 
 def normalized(c: Column, script: Script = HEBREW, keep_points: bool = False) -> Column:
-    out = plain_quotes(strip_tags(F.coalesce(c, F.lit(""))))
-    out = F.lower(out) if script.lower else out
-    out = F.regexp_replace(out, f"[{script.marks}]", "")
+    """Letters, digits and quotes inside words, with single spaces between words. Regular expressions are kept few, as every line passes here."""
+    c = F.coalesce(c, F.lit(""))
+    out = plain_quotes(F.when(c.contains("<"), strip_tags(c)).otherwise(c))
+    out = F.translate(F.lower(out) if script.lower else out, _each(script.marks), "")
     out = F.regexp_replace(out, f"[^{script.letters}0-9'\"{'.:' if keep_points else ''}]+", " ")
-    return F.trim(F.regexp_replace(strip_edge_quotes(out), " +", " "))
+    return F.trim(F.regexp_replace(strip_edge_quotes(out), " {2,}", " "))
 
 
 def words(norm: Column) -> Column:

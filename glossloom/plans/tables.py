@@ -14,8 +14,14 @@ def read(spark: SparkSession, d: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{table}.parquet")
 
 
+def read_texts(spark: SparkSession, d: str, table: str) -> DataFrame:
+    """A table whose texts are worked on row by row: one that is read in fewer tasks than there are cores is dealt out first."""
+    df, cores = read(spark, d, table), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def document_lines(spark: SparkSession, d: str) -> DataFrame:
-    return L.lines(read(spark, d, "documents"), "doc_id", F.col("text"))
+    return L.lines(read_texts(spark, d, "documents").select("doc_id", "text"), "doc_id", F.col("text"))
 
 
 def benchmark_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -31,7 +37,7 @@ def page_text():
 
 
 def page_lines(spark: SparkSession, d: str) -> DataFrame:
-    return L.lines(read(spark, d, "pages"), "page_id", page_text())
+    return L.lines(read_texts(spark, d, "pages").select("page_id", "html"), "page_id", page_text())
 
 
 def words(column: str = "raw"):

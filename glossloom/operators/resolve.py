@@ -12,9 +12,9 @@ from dataclasses import dataclass, field
 
 from glossloom.functions.similarity import Words
 from glossloom.operators.dictionary import Expander
+from glossloom.operators.normal import normal
 from glossloom.profiles import (
     ANCHOR_MIN_LETTERS,
-    APPROVED_AT,
     CONFIDENCE,
     CONTINUATION_WORDS,
     GAP_LIMIT,
@@ -280,8 +280,6 @@ class Resolver:
             if written != own or there != norm:
                 new = written.split() if written != own else full
                 if not explicit and written != own:
-                    from glossloom.operators.normal import normal
-
                     new = normal(written).split()
                 new_weights = self._weights(new[:cap], factors)
                 shapes += [(new[:cap], new_weights, there.split()), (full[:cap], weights[:cap], there.split()), (new[:cap], new_weights, words)]
@@ -413,9 +411,8 @@ class Resolver:
         self.floor, self.awaits = None, False
         for r in own:
             self._line(r, source)
-        if own or carries or self.before is not None:
-            if own:
-                self.carried, self.carried_depth = self.before, self.depth
+        if own:
+            self.carried, self.carried_depth = self.before, self.depth
 
     def _range(self, name: str) -> tuple[int, int]:
         s = self.here.get(name)
@@ -581,8 +578,6 @@ def prune(links: dict[int, Link], units: list[tuple[int, int]]) -> list[Link]:
 
 def match_range(say: Words, line: str, lemma: str) -> dict | None:
     """Which words of a line a lemma's words answer to: first word, number of words, and the runs between."""
-    from glossloom.operators.normal import normal
-
     there = [(w, i) for i, token in enumerate(line.split()) for w in normal(token).split() if any("א" <= c <= "ת" or c.isdigit() for c in w)]
     sought = normal(lemma).split()
     hits = set()

@@ -90,3 +90,29 @@ class Expander:
             i += taken
         joined = " ".join(w for w in out if w)
         return text if joined == " ".join(tokens) else joined
+
+
+def with_option(table: DataFrame, key: str, option: str) -> DataFrame:
+    """The dictionary with one more option; a key it had not is added, a blank option changes nothing."""
+    if not key.strip() or not option.strip():
+        return table
+    new = table.sparkSession.createDataFrame([(key.strip(), [option.strip()])], "key string, options array<string>")
+    flat = table.unionByName(new).select("key", F.posexplode("options").alias("at", "option"))
+    first = flat.groupBy("key", "option").agg(F.min("at").alias("at"))
+    return first.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "option"))), lambda x: x["option"]).alias("options"))
+
+
+def without_option(table: DataFrame, key: str, option: str) -> DataFrame:
+    """The dictionary without the option, and without the key if it was its last one."""
+    left = F.when(F.col("key") == key, F.array_remove("options", option)).otherwise(F.col("options"))
+    return table.select("key", left.alias("options")).where(F.size("options") > 0)
+
+
+def without_key(table: DataFrame, key: str) -> DataFrame:
+    return table.where(F.col("key") != key)
+
+
+def to_json(table: DataFrame) -> DataFrame:
+    """value: the dictionary as one JSON object, keys in order. A dictionary is small; texts are not kept in one."""
+    pairs = F.array_sort(F.collect_list(F.struct("key", "options")))
+    return table.agg(F.to_json(F.map_from_entries(pairs)).alias("value"))

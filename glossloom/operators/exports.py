@@ -91,3 +91,40 @@ def offered(lines: DataFrame, radius: int) -> DataFrame:
     anchor = F.coalesce(F.when(F.col("current").between(1, F.col("n_target")), F.col("current")), proportional(F.col("line"), F.col("n_lines"), F.col("n_target")))
     bound = lambda c: F.greatest(F.lit(1), F.least(F.col("n_target"), c))
     return lines.withColumn("first", bound(anchor - radius)).withColumn("last", bound(anchor + radius))
+
+
+def crossed(links: DataFrame, xref: DataFrame) -> DataFrame:
+    """Links to a secondary with primary_line, the line that the first cross reference of theirs (series, line_index_1, line_index_2, nth) names; null if none does."""
+    first = xref.groupBy("series", F.col("line_index_1").alias("at")).agg(F.min_by("line_index_2", "nth").alias("primary_line"))
+    return links.join(first, (F.col("secondary_target") == F.col("series")) & (F.col("line_index_2") == F.col("at")), "left").drop("series", "at")
+
+
+ANALYSIS = ("line_index_1", "commentary_line", "dh_text", "commentary_words", "line_index_2", "source_line", "source_words", "confidence", "status", "word_score_breakdown", "word_score_changes", "candidate_scores", "analysis_notes")
+
+
+def analysis(links: DataFrame, own: DataFrame, target: DataFrame, factors: DataFrame, script: Script = HEBREW) -> DataFrame:
+    """A row of ANALYSIS for each link (id, line_index_1, line_index_2, dh_text, confidence, status, candidates): how each word of the line scores.
+
+    own and target: id, line_no, raw, words; factors: id, word, factor.
+    """
+    a = own.select("id", F.col("line_no").alias("line_index_1"), F.col("raw").alias("commentary_line"), F.col("words").alias("w"))
+    b = target.select("id", F.col("line_no").alias("line_index_2"), F.col("raw").alias("source_line"), F.col("words").alias("t"))
+    rows = links.join(a, ["id", "line_index_1"], "left").join(b, ["id", "line_index_2"], "left").withColumn("w", F.coalesce("w", F.array().cast("array<string>"))).withColumn("t", F.coalesce("t", F.array().cast("array<string>")))
+    # only the factors of the line's own words come along
+    used = rows.select("id", "line_index_1", F.explode(F.array_distinct("w")).alias("word")).join(factors, ["id", "word"])
+    table = used.groupBy("id", "line_index_1").agg(F.map_from_entries(F.collect_list(F.struct("word", "factor"))).alias("idf"))
+    rows = rows.join(table, ["id", "line_index_1"], "left")
+    rows = rows.withColumn("b", breakdown(F.col("w"), F.col("t"), lambda w: S.combined_weight(S.word_weight(w, script), F.try_element_at("idf", w)), script))
+    listed = lambda kind, sign, part: F.array_join(F.transform(F.filter("b", lambda x: x["kind"] == kind), lambda x: F.format_string(f"%s{sign}%.2f", x["word"], x[part])), "; ")
+    some = lambda c: F.when(c == "", "none").otherwise(c)
+    scores = F.coalesce(F.array_join(F.transform("candidates", lambda c: F.format_string("%d:%.2f", c["line_num"], c["score"])), "; "), F.lit(""))
+    notes = F.format_string("dh_words=%d; source_words=%d; match_confidence=%d; candidates=%s", F.size("w"), F.size("t"), F.coalesce("confidence", F.lit(0)), some(scores))
+    made = {
+        "commentary_words": F.array_join("w", " "),
+        "source_words": F.array_join("t", " "),
+        "word_score_breakdown": F.array_join(F.transform("b", lambda x: x["label"]), " | "),
+        "word_score_changes": F.concat(F.lit("added:"), some(listed("ADD", "+", "gain")), F.lit("; subtracted:"), some(listed("SUB", "-", "loss"))),
+        "candidate_scores": scores,
+        "analysis_notes": notes,
+    }
+    return rows.select(*(made[c].alias(c) if c in made else F.col(c) for c in ANALYSIS))

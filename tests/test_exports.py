@@ -103,3 +103,22 @@ def test_files(spark, tmp_path):
     assert files.load_session(spark, str(tmp_path / "s"), ["links"])["links"].count() == 1
     (tmp_path / "d.json").write_text('{"א": "ב"}', encoding="utf-8")
     assert files.json_dictionaries(spark, str(tmp_path / "d.json")).first().options == ["ב"]
+
+
+def test_analysis(spark):
+    links = spark.createDataFrame([(1, 1, 4, "אמר רבא", 90, "approved", [(4, 2.5, 90), (6, 1.0, 50)]), (1, 2, 9, "x", None, "pending", None)], "id long, line_index_1 int, line_index_2 int, dh_text string, confidence int, status string, candidates array<struct<line_num: int, score: double, confidence: int>>")
+    own = spark.createDataFrame([(1, 1, "אמר רבא.", ["אמר", "רבא"]), (1, 2, "", [])], "id long, line_no int, raw string, words array<string>")
+    target = spark.createDataFrame([(1, 4, "ואמר רב", ["ואמר", "רב"])], "id long, line_no int, raw string, words array<string>")
+    factors = spark.createDataFrame([(1, "רבא", 1.2), (2, "רבא", 9.0)], "id long, word string, factor double")
+    one, two = exports.analysis(links, own, target, factors).orderBy("line_index_1").collect()
+    assert tuple(one.asDict()) == exports.ANALYSIS
+    assert one.word_score_breakdown == "אמר->ואמר:0.92*0.35=0.32 | רבא->ואמר:0.00*1.20=0.00"
+    assert one.word_score_changes == "added:אמר+0.32; subtracted:רבא-1.20"
+    assert one.candidate_scores == "4:2.50; 6:1.00" and one.analysis_notes == "dh_words=2; source_words=2; match_confidence=90; candidates=4:2.50; 6:1.00"
+    assert two.word_score_changes == "added:none; subtracted:none" and two.source_line is None
+
+
+def test_cross_references(spark):
+    links = spark.createDataFrame([(1, 5, "rashi"), (2, 6, "rashi"), (3, 5, None)], "line_index_1 int, line_index_2 int, secondary_target string")
+    xref = spark.createDataFrame([("rashi", 5, 70, 2), ("rashi", 5, 60, 1), ("tosafot", 6, 1, 1)], "series string, line_index_1 int, line_index_2 int, nth int")
+    assert {r.line_index_1: r.primary_line for r in exports.crossed(links, xref).collect()} == {1: 60, 2: None, 3: None}

@@ -17,7 +17,7 @@ from alternating star steps; no links or groups are gathered.
 
 That is `near_duplicates`. `one_of_each` works for texts that share most of
 their shingles, which differ in far more bits than a grid can have groups for.
-It takes 128-bit fingerprints of five-word shingles, links at WIDE_DISTANCE
+It takes 256-bit fingerprints of distinct five-word shingles, links at WIDE_DISTANCE
 bits, and has WIDE_CELLS grids, each of the counts of some ten segments; two
 texts of similarity 0.8 agree in one of them at least with a chance of 0.97.
 In a cell pairs are verified exactly, and nodes that a link has joined already
@@ -49,7 +49,7 @@ SEED = 42
 #: From this many fingerprints on, a cell is searched by looking neighbours up.
 LARGE_CELL = 4096
 _RUN = 8
-WIDE_SHINGLE, WIDE_WORDS, WIDE_DISTANCE, WIDE_CELLS, WIDE_SEGMENTS = 5, 2, 29, 80, 10
+WIDE_SHINGLE, WIDE_WORDS, WIDE_DISTANCE, WIDE_CELLS, WIDE_SEGMENTS = 5, 4, 52, 80, 10
 #: So many grids are searched before the rest.
 WIDE_FIRST = 12
 #: Sets of fewer shingles are only as similar as 0.8 if they are equal, so they get a hash of the set.
@@ -60,7 +60,7 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder=
 
 
 def fingerprints_of(texts: list[str | None], shingle: int = SHINGLE, words: int = 1) -> np.ndarray:
-    """SimHash of each text: a bit is set if it is in over half of the shingles' XXH64. More words than one take further hashes made from it; the result is (texts, words)."""
+    """SimHash of each text: a bit is set if it is in over half of the shingles' XXH64. More words than one take distinct shingles and further hashes made from theirs; the result is (texts, words)."""
     digest, hashes, sizes = xxhash.xxh64_intdigest, [], []
     totals = np.zeros((len(texts), 64 * words), np.int64)
     at = []
@@ -68,7 +68,7 @@ def fingerprints_of(texts: list[str | None], shingle: int = SHINGLE, words: int
     def count():
         if not hashes:
             return
-        rows, h = np.repeat(np.arange(len(at)), sizes), np.array(hashes, np.uint64)
+        rows, h = np.repeat(np.arange(len(at)), sizes), np.concatenate(hashes)
         for w in range(words):
             own = h if not w else mix(h + np.uint64(w * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
             for byte, column in enumerate(own.view(np.uint8).reshape(-1, 8).T):
@@ -86,15 +86,19 @@ def fingerprints_of(texts: list[str | None], shingle: int = SHINGLE, words: int
         starts = np.concatenate([[0], ends[:-1] + 1])
         k = min(shingle, len(tokens))
         starts, ends = starts[: len(tokens) - k + 1].tolist(), ends[k - 1 :].tolist()
-        n[d] = len(starts)
-        for i in range(0, len(starts), 1 << 17):
-            own = [digest(joined[a:b], SEED) for a, b in zip(starts[i : i + (1 << 17)], ends[i : i + (1 << 17)], strict=True)]
-            hashes += own
+        chunks = range(0, len(starts), 1 << 17)
+        found = [np.array([digest(joined[a:b], SEED) for a, b in zip(starts[i : i + (1 << 17)], ends[i : i + (1 << 17)], strict=True)], np.uint64) for i in chunks]
+        if words > 1:
+            # a set of shingles: else a phrase that fills a text makes it like all others of that phrase
+            found = [np.unique(np.concatenate(found))]
+            if len(found[0]) < FEW:
+                few[d] = int(found[0].sum(dtype=np.uint64))
+        n[d] = sum(map(len, found))
+        for own in found:
+            hashes.append(own)
             sizes.append(len(own))
             at.append(d)
-            if words > 1 and n[d] < FEW:
-                few[d] = sum(set(own)) & (1 << 64) - 1
-            if len(hashes) >= 1 << 17 or len(at) >= 4096:
+            if sum(sizes) >= 1 << 17 or len(at) >= 4096:
                 count()
     count()
     bits = (totals * 2 > n[:, None]).astype(np.uint8)
@@ -271,7 +275,7 @@ def linked(prints: DataFrame, *, distance: int = DISTANCE) -> DataFrame:
 
 
 def similar(prints: DataFrame, *, distance: int = WIDE_DISTANCE) -> DataFrame:
-    """prints (doc_id, fp, fp1, more columns) with __node."""
+    """prints (doc_id, fp, fp1 and so on, more columns) with __node."""
     fp = ["fp", *(f"fp{w}" for w in range(1, WIDE_WORDS))]
     nodes = _nodes(prints, fp)
     masks = list(enumerate(_wide_masks()))

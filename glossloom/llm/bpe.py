@@ -32,13 +32,13 @@ from pyspark.sql import functions as F
 from glossloom.llm.common import text_blocks
 
 #: Words one generation of a task's memory holds.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 250_000
 #: Words met repeatedly that a worker keeps for its next task.
-COMMON_WORDS = 100_000
+COMMON_WORDS = 50_000
 #: Words that go to DuckDB together, and bytes that they have at most together.
 BATCH_WORDS, BATCH_BYTES = 30_000, 400_000
 #: Texts that are cut into words together.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 2 << 20
 LONG_BYTES = 64
 
 # a word and a position in it are one number, 128 * word + position, which sorts fastest
@@ -90,18 +90,21 @@ class Tokenizer:
         self.whole = {t: str(rank) for t, rank in ranks.items()}
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         merges = [(ranks[t[:i]], ranks[t[i:]], rank) for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
-        self.db.register("m", pa.table([pa.array(c, pa.int32()) for c in zip(*merges, strict=True)], ["l", "r", "merged"]))
-        self.db.register("v", pa.table({"tok": pa.array(ranks.values(), pa.int32()), "hex": pa.array([t.hex() for t in ranks])}))
-        self.db.execute("CREATE TABLE merges AS FROM m; CREATE TABLE vocabulary AS FROM v; ")
-        self.db.unregister("m")
-        self.db.unregister("v")
+        self.merges = pa.table([pa.array(c, pa.int32()) for c in zip(*merges, strict=True)], ["l", "r", "merged"])
+        self.vocabulary = pa.table({"tok": pa.array(ranks.values(), pa.int32()), "hex": pa.array([t.hex() for t in ranks])})
+        self.db: duckdb.DuckDBPyConnection | None = None
         self.young: dict[str, str] = {}
         self.old: dict[str, str] = {}
         self.common: set[str] = set()
         self.odd: dict[str, bytes] = {}  # words that decode to other bytes than their own; there should be none
 
     def _query(self, sql: str, w: np.ndarray, pos: np.ndarray, tok: np.ndarray) -> pa.Table:
+        if self.db is None:
+            self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+            for name in ("merges", "vocabulary"):
+                self.db.register("table_", getattr(self, name))
+                self.db.execute(f"CREATE TABLE {name} AS FROM table_")
+                self.db.unregister("table_")
         self.db.register("given", pa.table({"w": w.astype(np.int32), "pos": pos.astype(np.int32), "tok": tok.astype(np.int32)}))
         try:
             return self.db.sql(sql).to_arrow_table()
@@ -149,9 +152,13 @@ class Tokenizer:
         return out
 
     def forget(self) -> None:
-        """All but words met repeatedly."""
+        """All but words met repeatedly; the database gives its memory back."""
+        if self.db is not None:
+            self.db.close()
+            self.db = None
         self.young = {w: ids for w in self.common if len(w) <= LONG_BYTES and (ids := self.young.get(w) or self.old.get(w)) is not None}
         self.old, self.odd, self.common = {}, {}, set()
+        pa.default_memory_pool().release_unused()
 
     def decode(self, ids: list[list[int]]) -> list[bytes]:
         """The bytes of each list of ids."""

@@ -20,8 +20,12 @@ their shingles, which differ in far more bits than a grid can have groups for.
 It takes 256-bit fingerprints of distinct five-word shingles, links at WIDE_DISTANCE
 bits, and has WIDE_CELLS grids, each of the counts of some ten segments; two
 texts of similarity 0.8 agree in one of them at least with a chance of 0.97.
-In a cell pairs are verified exactly, and nodes that a link has joined already
-are not compared with each other, so a group of copies stays cheap.
+Nodes there are distinct sets of shingles. What hangs together by such links is
+a candidate group only: a link needs a Jaccard similarity of SIMILAR, taken
+exactly on the sets. A group of more than BLOCK_SHINGLES is dealt over pairs of
+blocks. Before, all its sets are compared with one, the pivot: those it links
+need no comparison with each other, and as 1 - Jaccard is a metric, only sets
+within twice the distance of the pivot can be similar to one of these.
 
 Results: every row has a fingerprint; texts that are null, empty or blank have
 fingerprint zero, linked like any other. Rows of a null id take part; their
@@ -54,14 +58,40 @@ WIDE_SHINGLE, WIDE_WORDS, WIDE_DISTANCE, WIDE_CELLS, WIDE_SEGMENTS = 5, 4, 52, 8
 WIDE_FIRST = 12
 #: Sets of fewer shingles are only as similar as 0.8 if they are equal, so they get a hash of the set.
 FEW = 9
+#: Least Jaccard similarity of a link, as a fraction.
+SIMILAR = (4, 5)
+#: Shingles of a block of sets.
+BLOCK_SHINGLES = 1 << 16
+#: A node is the place of a row: partition, unit and row within the unit, by bits.
+_UNIT_BITS, _PLACE_BITS = 20, 23
 _SEED = 7
 _HALF = 0x5555555555555555
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprints_of(texts: list[str | None], shingle: int = SHINGLE, words: int = 1) -> np.ndarray:
+def _shingles(text: str | None, shingle: int) -> list[np.ndarray]:
+    """XXH64 of each shingle, in chunks; of a text of fewer words, of all."""
+    tokens = (text or "").encode().lower().split()
+    if not tokens:
+        return []
+    digest, joined = xxhash.xxh64_intdigest, b" ".join(tokens)
+    ends = np.cumsum([len(w) + 1 for w in tokens]) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    k = min(shingle, len(tokens))
+    starts, ends = starts[: len(tokens) - k + 1].tolist(), ends[k - 1 :].tolist()
+    chunks = range(0, len(starts), 1 << 17)
+    return [np.array([digest(joined[a:b], SEED) for a, b in zip(starts[i : i + (1 << 17)], ends[i : i + (1 << 17)], strict=True)], np.uint64) for i in chunks]
+
+
+def shingle_set(text: str | None, shingle: int = WIDE_SHINGLE) -> np.ndarray:
+    """The distinct shingles' hashes, in order."""
+    found = _shingles(text, shingle)
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+
+def fingerprints_of(texts: list[str | None], shingle: int = SHINGLE, words: int = 1, sets: list[np.ndarray] | None = None) -> np.ndarray:
     """SimHash of each text: a bit is set if it is in over half of the shingles' XXH64. More words than one take distinct shingles and further hashes made from theirs; the result is (texts, words)."""
-    digest, hashes, sizes = xxhash.xxh64_intdigest, [], []
+    hashes, sizes = [], []
     totals = np.zeros((len(texts), 64 * words), np.int64)
     at = []
 
@@ -78,16 +108,9 @@ def fingerprints_of(texts: list[str | None], shingle: int = SHINGLE, words: int
 
     n, few = np.zeros(len(texts), np.int64), {}
     for d, text in enumerate(texts):
-        tokens = (text or "").encode().lower().split()
-        if not tokens:
+        found = _shingles(text, shingle) if sets is None else [sets[d]] if len(sets[d]) else []
+        if not found:
             continue
-        joined = b" ".join(tokens)
-        ends = np.cumsum([len(w) + 1 for w in tokens]) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        k = min(shingle, len(tokens))
-        starts, ends = starts[: len(tokens) - k + 1].tolist(), ends[k - 1 :].tolist()
-        chunks = range(0, len(starts), 1 << 17)
-        found = [np.array([digest(joined[a:b], SEED) for a, b in zip(starts[i : i + (1 << 17)], ends[i : i + (1 << 17)], strict=True)], np.uint64) for i in chunks]
         if words > 1:
             # a set of shingles: else a phrase that fills a text makes it like all others of that phrase
             found = [np.unique(np.concatenate(found))]
@@ -274,18 +297,119 @@ def linked(prints: DataFrame, *, distance: int = DISTANCE) -> DataFrame:
     return prints.join(named, "fp", "left").withColumn("component_id", F.when(F.col("__node") > -(1 << 62) + (1 << 61), F.col("__node")))
 
 
-def similar(prints: DataFrame, *, distance: int = WIDE_DISTANCE) -> DataFrame:
-    """prints (doc_id, fp, fp1 and so on, more columns) with __node."""
+def _candidates(prints: DataFrame, distance: int) -> DataFrame:
+    """The distinct sets of prints: s0, s1 (a set's digest), node, and label, the least node of its candidate group."""
     fp = ["fp", *(f"fp{w}" for w in range(1, WIDE_WORDS))]
-    nodes = _nodes(prints, fp)
+    nodes = checkpointed(prints.groupBy("s0", "s1").agg(F.min("node").alias("node"), *(F.min(f).alias(f) for f in fp)).withColumn("label", F.col("node")))
     masks = list(enumerate(_wide_masks()))
     # a group of copies hangs together after a few grids; the others then only link what is not linked yet
     for own in (masks[:WIDE_FIRST], masks[WIDE_FIRST:]):
-        counts = nodes.select(*fp, "node", *(_counts_of(F.col(f)).alias(f"c{w}") for w, f in enumerate(fp)))
+        counts = nodes.select(*fp, F.col("label").alias("node"), *(_counts_of(F.col(f)).alias(f"c{w}") for w, f in enumerate(fp)))
         cells = F.explode(F.array(*(F.struct(F.lit(i).alias("choice"), F.xxhash64(*(F.col(f"c{w}").bitwiseAND(F.lit(_long(m))) for w, m in enumerate(mask))).alias("cell")) for i, mask in own)))
         grid = counts.select(*fp, "node", cells.alias("g")).select("g.choice", "g.cell", *fp, "node")
-        nodes = checkpointed(_linked_nodes(grid, nodes, fp, distance))
-    return prints.join(nodes.withColumnRenamed("node", "__node"), fp, "left")
+        links = grid.repartition("choice", "cell").sortWithinPartitions("choice", "cell", *fp).mapInArrow(lambda b: _links(b, distance, len(fp)), "a long, b long")
+        found = components(links).withColumnsRenamed({"node": "label", "component": "to"})
+        nodes = checkpointed(nodes.join(found, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to"))
+    return nodes.select("s0", "s1", "node", "label")
+
+
+def _pairs_in_cells(pivots: bool):
+    """Compare sets in each cell, of rows sorted by cell: those of side 0 with those of side 1, and in a cell of one block (i = j) with each other. Gives links; with pivots, kind for each set of side 1: 0 linked, 1 within twice a link's distance, 2 farther."""
+    p, q = SIMILAR
+
+    def of(nodes, sides, sets, one_block):
+        sides, size = np.array(sides), np.array([len(x) for x in sets])
+        order = np.argsort(sides, kind="stable")
+        nodes, sides, size, sets = np.array(nodes)[order], sides[order], size[order], [sets[i] for i in order]
+        # equal sets are one node, so at most one is empty; it is like no other
+        codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        ends = np.cumsum(size)
+        n_left, a, b, kinds = int((sides == 0).sum()), [], [], []
+        for i in range(n_left):
+            first = i + 1 if one_block else n_left
+            if first >= len(nodes) or not size[i] or not size[first:].any():
+                near = np.zeros(max(0, len(nodes) - first), np.int64)
+            else:
+                mark = np.zeros(len(codes) + 1, np.int64)
+                mark[codes[ends[i] - size[i] : ends[i]]] = 1
+                at = np.concatenate([[0], np.cumsum(mark[codes])])
+                near = at[ends[first:]] - at[ends[first:] - size[first:]]
+            either = size[first:] + size[i] - near
+            linked = near * q >= p * either
+            linked &= near > 0
+            if pivots:
+                # 1 - near / either <= 2 * (1 - p / q)
+                kinds.append(np.where(linked, 0, np.where(near * q >= (2 * p - q) * either, 1, 2)))
+                linked[:] = True
+            a.append(np.full(int(linked.sum()), nodes[i]))
+            b.append(nodes[first:][linked])
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        kinds = np.concatenate(kinds) if kinds else np.zeros(len(a), np.int64)
+        if not pivots and len(a):
+            # links that join the same
+            names = np.unique(np.concatenate([a, b]))
+            label = _labels(len(names), np.searchsorted(names, a), np.searchsorted(names, b))
+            a, b = names, names[label]
+            a, b = a[a != b], b[a != b]
+            kinds = np.zeros(len(a), np.int64)
+        return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "kind": pa.array(kinds, pa.int32())})
+
+    def run(batches):
+        cell, nodes, sides, sets = None, [], [], []
+        for batch in batches:
+            keys = zip(*(batch[c].to_pylist() for c in ("label", "which", "i", "j")), strict=True)
+            for key, side, node, own in zip(keys, batch["side"].to_pylist(), batch["node"].to_pylist(), batch["own"], strict=True):
+                if key != cell:
+                    if len(nodes) > 1:
+                        yield of(nodes, sides, sets, cell[1] == 0 and cell[2] == cell[3])
+                    cell, nodes, sides, sets = key, [], [], []
+                nodes.append(node)
+                sides.append(side)
+                sets.append(np.frombuffer(own.as_py(), np.uint64))
+        if len(nodes) > 1:
+            yield of(nodes, sides, sets, cell[1] == 0 and cell[2] == cell[3])
+
+    return run
+
+
+def _compared(dealt: DataFrame, pivots: bool = False) -> DataFrame:
+    """dealt: label, cell (which, i, j, side), node, own."""
+    rows = dealt.select("label", "cell.*", "node", "own").repartition("label", "which", "i", "j").sortWithinPartitions("label", "which", "i", "j", "side", "node")
+    return rows.mapInArrow(_pairs_in_cells(pivots), "a long, b long, kind int")
+
+
+def _cell(which: int, i, j, side):
+    return F.struct(F.lit(which).alias("which"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+
+
+def _blocks(weight):
+    return F.ceil(F.sum(weight) / BLOCK_SHINGLES).cast("int")
+
+
+def _verified(members: DataFrame) -> DataFrame:
+    """Links a-b between the sets of each candidate group that are similar. members: label, node, n, own (the set); kept in the shared folder."""
+    zero, at = F.lit(0), lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    sizes = checkpointed(members.groupBy("label").agg(F.greatest(_blocks("n"), F.lit(1)).alias("blocks")))
+    sized = members.join(sizes, "label")
+    links = _compared(sized.where("blocks = 1").withColumn("cell", _cell(0, zero, zero, zero)))
+    large = sized.where("blocks > 1")
+    # the pivot, whose node names its group, goes to each block
+    pivot = large.where("node = label").withColumn("cell", F.explode(F.transform(F.sequence(zero, F.col("blocks") - 1), lambda k: _cell(1, zero, k, zero))))
+    others = large.where("node != label").withColumn("cell", _cell(1, zero, at("blocks"), F.lit(1)))
+    kinds = checkpointed(_compared(pivot.unionByName(others), True))
+    links = links.unionByName(kinds.where("kind = 0"))
+    large = large.select("label", "node", "n", "own").join(kinds.select(F.col("b").alias("node"), "kind"), "node", "left").withColumn("kind", F.coalesce("kind", zero))
+    large = checkpointed(large)
+    parts = large.groupBy("label").agg(_blocks(F.when(F.col("kind") > 0, F.col("n")).otherwise(0)).alias("rest"), _blocks(F.when(F.col("kind") == 1, F.col("n")).otherwise(0)).alias("ring"), _blocks(F.when(F.col("kind") == 0, F.col("n")).otherwise(0)).alias("star"))
+    large = large.join(checkpointed(parts), "label")
+    upto = lambda n: F.sequence(zero, F.col(n) - 1)
+    rest = large.where("kind > 0 AND rest > 0").withColumn("own_block", at("rest"))
+    rest = rest.withColumn("cell", F.explode(F.transform(upto("rest"), lambda k: _cell(0, F.least(k, F.col("own_block")), F.greatest(k, F.col("own_block")), F.col("own_block") > k)))).drop("own_block")
+    ring = large.where("kind = 1 AND ring > 0").withColumn("own_block", at("ring"))
+    ring = ring.withColumn("cell", F.explode(F.transform(upto("star"), lambda k: _cell(2, F.col("own_block"), k, zero)))).drop("own_block")
+    star = large.where("kind = 0 AND ring > 0").withColumn("own_block", at("star"))
+    star = star.withColumn("cell", F.explode(F.transform(upto("ring"), lambda k: _cell(2, k, F.col("own_block"), F.lit(1))))).drop("own_block")
+    return links.unionByName(_compared(rest.unionByName(ring).unionByName(star))).select("a", "b")
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", distance: int = WIDE_DISTANCE, shingle: int = WIDE_SHINGLE) -> DataFrame:
@@ -297,16 +421,36 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             for unit, blob in zip(batch["unit"].to_pylist(), batch["blob"], strict=True):
                 at = 0
                 for rows in unpack(blob.as_buffer()):
-                    fp = fingerprints_of(rows.column(text_col).to_pylist(), shingle, WIDE_WORDS)
+                    sets = [shingle_set(t, shingle) for t in rows.column(text_col).to_pylist()]
+                    fp = fingerprints_of([None] * len(sets), shingle, WIDE_WORDS, sets)
+                    digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), np.int64).reshape(-1, 2)
+                    first = (unit >> 32) << (_UNIT_BITS + _PLACE_BITS) | (unit & (1 << 32) - 1) << _PLACE_BITS
                     out = {"unit": pa.array([unit] * len(fp), pa.int64()), "place": pa.array(np.arange(at, at + len(fp))), "doc_id": rows.column(id_col).cast(pa.int64())}
+                    out |= {"node": pa.array(first + np.arange(at, at + len(fp))), "s0": pa.array(digests[:, 0].copy()), "s1": pa.array(digests[:, 1].copy())}
                     yield pa.RecordBatch.from_pydict(out | {f"fp{w}" if w else "fp": pa.array(signed(fp[:, w].copy())) for w in range(WIDE_WORDS)})
                     at += len(fp)
 
-    schema = "unit long, place long, doc_id long, fp long" + "".join(f", fp{w} long" for w in range(1, WIDE_WORDS))
+    schema = "unit long, place long, doc_id long, node long, s0 long, s1 long, fp long" + "".join(f", fp{w} long" for w in range(1, WIDE_WORDS))
     prints = checkpointed(packed.select("unit", "blob").mapInArrow(run, schema))
+    nodes = _candidates(prints, distance)
+    groups = nodes.groupBy("label").agg(F.count("*").alias("n")).where("n > 1").select("label")
+    unit = F.shiftleft(F.shiftright("node", _UNIT_BITS + _PLACE_BITS), 32).bitwiseOR(F.shiftright("node", _PLACE_BITS).bitwiseAND(F.lit((1 << _UNIT_BITS) - 1)))
+    wanted = nodes.join(groups, "label").select(unit.alias("unit"), F.lit(0).alias("level"), F.col("node").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)).alias("part"), F.concat_ws(",", "node", "label").cast("binary").alias("flags"))
+
+    def sets_of(_unit, batches, found):
+        at = 0
+        for rows in batches:
+            own = [i for i in range(rows.num_rows) if at + i in found[0]]
+            names = [tuple(map(int, found[0][at + i].decode().split(","))) for i in own]
+            sets = [shingle_set(t, shingle) for t in rows.column(text_col).take(pa.array(own, pa.int64())).to_pylist()]
+            at += rows.num_rows
+            yield pa.RecordBatch.from_pydict({"node": pa.array([x[0] for x in names], pa.int64()), "label": pa.array([x[1] for x in names], pa.int64()), "n": pa.array([len(x) for x in sets], pa.int64()), "own": pa.array([x.tobytes() for x in sets], pa.binary())})
+
+    members = checkpointed(with_answers(packed, wanted, sets_of, "node long, label long, n long, own binary"))
+    named = nodes.join(components(_verified(members)), "node", "left").select("s0", "s1", F.coalesce("component", "node").alias("__node"))
     # null ids last
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "unit", "place")).alias("first")
-    stay = similar(prints, distance=distance).groupBy("__node").agg(first).select("first.unit", F.lit(0).alias("level"), F.col("first.place").alias("part"), F.lit(b"").alias("flags"))
+    stay = prints.select("s0", "s1", "doc_id", "unit", "place").join(named, ["s0", "s1"]).groupBy("__node").agg(first).select("first.unit", F.lit(0).alias("level"), F.col("first.place").alias("part"), F.lit(b"").alias("flags"))
 
     def keep(_unit, batches, found):
         at = 0

@@ -208,6 +208,50 @@ def test_one_of_each(spark):
     assert {600, 601, 700, 701, 702} <= set(ids)
 
 
+def _like(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def _groups_by_hand(texts):
+    """Of each text, the first text that it hangs together with by Jaccard similarities of 0.8 or more."""
+    sets = []
+    for text in texts:
+        w = text.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    to = list(range(len(sets)))
+
+    def root(i):
+        while to[i] != i:
+            i = to[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        if _like(sets[i], sets[j]) >= 0.8:
+            to[max(root(i), root(j))] = min(root(i), root(j))
+    return [root(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("block", [1 << 16, 400])
+def test_one_of_each_drops_at_similarity_only(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash_dedup, "BLOCK_SHINGLES", block)
+    rng = np.random.default_rng(8)
+    texts = []
+    for changes in (1, 2, 3, 4, 4, 5, 6, 8) * 3:
+        base = [f"w{x}" for x in rng.integers(0, 5000, 150)]
+        for _ in range(5):
+            edited = list(base)
+            for at in rng.choice(29, changes, replace=False):
+                edited[at * 5 + 3] = f"v{rng.integers(0, 5000)}"
+            texts.append(" ".join(edited))
+    chain = [f"w{x}" for x in rng.integers(0, 5000, 150)]
+    for k in range(0, 60, 3):  # each is like the next, not like those after
+        texts.append(" ".join(["v"] * k + chain[k:]) + f" {k}")
+    kept = {r.doc_id for r in simhash_dedup.one_of_each(plain(spark, list(enumerate(texts)))).collect()}
+    by_hand = set(_groups_by_hand(texts))
+    assert 60 < len(by_hand) < len(texts) - 20
+    assert kept == by_hand
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 3), (5, 6), (6, 5), (7, 7), (None, 4), *((k, k + 1) for k in range(100, 160)), *((1000, k) for k in range(1001, 1100))]
     got = {r.node: r.component for r in common.components(plain(spark, edges, "a long, b long")).collect()}

@@ -56,8 +56,9 @@ _RUN = 8
 WIDE_SHINGLE, WIDE_WORDS, WIDE_DISTANCE, WIDE_CELLS, WIDE_SEGMENTS = 5, 4, 52, 80, 10
 #: So many grids are searched before the rest.
 WIDE_FIRST = 12
-#: Sets of fewer shingles are only as similar as 0.8 if they are equal, so they get a hash of the set.
-FEW = 9
+#: Sets of fewer shingles are too small for a fingerprint; if two are as similar as 0.8 and one has fewer, they have
+#: ten at most, and the shingles that both have are left when one or two are deleted. Below four only equal sets are.
+FEW, LEAST_KEYED, MOST_KEYED = 9, 4, 10
 #: Least Jaccard similarity of a link, as a fraction.
 SIMILAR = (4, 5)
 #: Shingles of a block of sets.
@@ -89,6 +90,16 @@ def shingle_set(text: str | None, shingle: int = WIDE_SHINGLE) -> np.ndarray:
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
+def deletion_keys(own: np.ndarray) -> np.ndarray:
+    """Keys of a small set and of what is left of it without one or two shingles."""
+    if not LEAST_KEYED <= len(own) <= MOST_KEYED:
+        return np.zeros(0, np.uint64)
+    h = mix(own)
+    one = h.sum(dtype=np.uint64) - h
+    i, j = np.triu_indices(len(h), 1)
+    return mix(np.concatenate([h.sum(dtype=np.uint64, keepdims=True), one, one[i] - h[j]]))
+
+
 def fingerprints_of(texts: list[str | None], shingle: int = SHINGLE, words: int = 1, sets: list[np.ndarray] | None = None) -> np.ndarray:
     """SimHash of each text: a bit is set if it is in over half of the shingles' XXH64. More words than one take distinct shingles and further hashes made from theirs; the result is (texts, words)."""
     hashes, sizes = [], []
@@ -301,6 +312,9 @@ def _candidates(prints: DataFrame, distance: int) -> DataFrame:
     """The distinct sets of prints: s0, s1 (a set's digest), node, and label, the least node of its candidate group."""
     fp = ["fp", *(f"fp{w}" for w in range(1, WIDE_WORDS))]
     nodes = checkpointed(prints.groupBy("s0", "s1").agg(F.min("node").alias("node"), *(F.min(f).alias(f) for f in fp)).withColumn("label", F.col("node")))
+    keyed = prints.where(F.size("keys") > 0).select("s0", "s1", F.explode("keys").alias("key")).distinct().join(nodes.select("s0", "s1", "node"), ["s0", "s1"]).select("key", "node")
+    least = keyed.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
+    small = keyed.join(least, "key").where("node > least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     masks = list(enumerate(_wide_masks()))
     # a group of copies hangs together after a few grids; the others then only link what is not linked yet
     for own in (masks[:WIDE_FIRST], masks[WIDE_FIRST:]):
@@ -308,6 +322,8 @@ def _candidates(prints: DataFrame, distance: int) -> DataFrame:
         cells = F.explode(F.array(*(F.struct(F.lit(i).alias("choice"), F.xxhash64(*(F.col(f"c{w}").bitwiseAND(F.lit(_long(m))) for w, m in enumerate(mask))).alias("cell")) for i, mask in own)))
         grid = counts.select(*fp, "node", cells.alias("g")).select("g.choice", "g.cell", *fp, "node")
         links = grid.repartition("choice", "cell").sortWithinPartitions("choice", "cell", *fp).mapInArrow(lambda b: _links(b, distance, len(fp)), "a long, b long")
+        if own[0][0] == 0:
+            links = links.unionByName(small)
         found = components(links).withColumnsRenamed({"node": "label", "component": "to"})
         nodes = checkpointed(nodes.join(found, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to"))
     return nodes.select("s0", "s1", "node", "label")
@@ -427,10 +443,11 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                     first = (unit >> 32) << (_UNIT_BITS + _PLACE_BITS) | (unit & (1 << 32) - 1) << _PLACE_BITS
                     out = {"unit": pa.array([unit] * len(fp), pa.int64()), "place": pa.array(np.arange(at, at + len(fp))), "doc_id": rows.column(id_col).cast(pa.int64())}
                     out |= {"node": pa.array(first + np.arange(at, at + len(fp))), "s0": pa.array(digests[:, 0].copy()), "s1": pa.array(digests[:, 1].copy())}
+                    out |= {"keys": pa.array([signed(deletion_keys(x)) for x in sets], pa.list_(pa.int64()))}
                     yield pa.RecordBatch.from_pydict(out | {f"fp{w}" if w else "fp": pa.array(signed(fp[:, w].copy())) for w in range(WIDE_WORDS)})
                     at += len(fp)
 
-    schema = "unit long, place long, doc_id long, node long, s0 long, s1 long, fp long" + "".join(f", fp{w} long" for w in range(1, WIDE_WORDS))
+    schema = "unit long, place long, doc_id long, node long, s0 long, s1 long, keys array<long>, fp long" + "".join(f", fp{w} long" for w in range(1, WIDE_WORDS))
     prints = checkpointed(packed.select("unit", "blob").mapInArrow(run, schema))
     nodes = _candidates(prints, distance)
     groups = nodes.groupBy("label").agg(F.count("*").alias("n")).where("n > 1").select("label")

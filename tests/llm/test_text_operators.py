@@ -252,6 +252,18 @@ def test_one_of_each_drops_at_similarity_only(spark, monkeypatch, block):
     assert kept == by_hand
 
 
+@pytest.mark.parametrize(("n", "more"), [(4, 1), (5, 1), (6, 1), (7, 1), (8, 1), (8, 2)])
+def test_one_of_each_finds_short_near_copies(spark, n, more):
+    texts = []
+    for k in range(12):
+        w = [f"w{k}x{i}" for i in range(n + 4 + more)]
+        texts += [" ".join(w), " ".join(w[:-more] if k % 2 else w[more:])]
+        # one word less at each end: no copies below nine shingles
+        texts.append(" ".join(w[: n + 3]) + " other")
+    kept = {r.doc_id for r in simhash_dedup.one_of_each(plain(spark, list(enumerate(texts)))).collect()}
+    assert kept == set(_groups_by_hand(texts)) and not {3 * k + 1 for k in range(12)} & kept
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 3), (5, 6), (6, 5), (7, 7), (None, 4), *((k, k + 1) for k in range(100, 160)), *((1000, k) for k in range(1001, 1100))]
     got = {r.node: r.component for r in common.components(plain(spark, edges, "a long, b long")).collect()}

@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossloom.llm.common import checkpointed
 from glossloom.llm.units import streamed
 
 NEIGHBOURS = 20
@@ -270,9 +271,11 @@ def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if lengths is None:
         return empty
-    rows = rows.where(F.size("vector") == lengths["dim"])
+    # once each, or repeats take places among a block's best; combined on the map side, so a common row is light
+    rows = checkpointed(rows.where(F.size("vector") == lengths["dim"]).distinct())
+    n = rows.count()
     sample = np.array([r[0] for r in rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").collect()])
-    hashing = Hashing.fit(sample, lengths["norm"], lengths["n"], k)
+    hashing = Hashing.fit(sample, lengths["norm"], n, k)
 
     def cells(batches):
         for batch in batches:

@@ -254,3 +254,10 @@ def test_few_neighbours(spark):
     assert _recall(spark, [(0, [1.0] * 16)]) == 0
     assert _recall(spark, [(i, [1.0] * 16) for i in range(0, 100, 10)], 3) == 1
     assert _recall(spark, []) == 0
+
+
+def test_neighbours_of_repeated_rows(spark):
+    rng = np.random.default_rng(10)
+    rows = [(i, x.tolist()) for i, x in enumerate(rng.normal(size=(30, 16)))]
+    assert _recall(spark, rows * 2) == 1
+    assert _recall(spark, rows + rows[1:2] * 50) == 1

@@ -10,7 +10,8 @@ For a query, the chance that a neighbour at the distance expected for the k-th
 lies in a cell is the product of Gaussian slot probabilities. The query visits
 cells in order of that chance until the chances reach SUCCESS (and the cells
 hold a few times k rows), so two tables miss one neighbour in twenty-five or so.
-The expected distance is fitted to a sample of SAMPLE rows by hash of the id.
+The expected distance is fitted to a sample of SAMPLE rows by hash of the id, the
+query's own left out.
 A sample's neighbours are farther than the whole table's, which errs towards
 more visits. Cells are packed, in order, into blocks of about BLOCK_ROWS rows;
 a cell of more rows, such as a vector that very many rows have, is dealt over
@@ -68,16 +69,17 @@ class Hashing:
     middle: np.ndarray  # (tables, hashes)
     norm: float
     sample: np.ndarray
+    sample_ids: np.ndarray
     nth: int  # which neighbour in the sample stands for the k-th
 
     @classmethod
-    def fit(cls, sample: np.ndarray, norm: float, rows: int, k: int) -> Hashing:
+    def fit(cls, sample: np.ndarray, sample_ids: np.ndarray, norm: float, rows: int, k: int) -> Hashing:
         rng = np.random.default_rng(SEED)
         a = rng.normal(size=(TABLES, sample.shape[1] + 1, HASHES))
         long = cls._longer(sample, norm)
         spread = math.sqrt(max(0.0, 2 * ((long**2).sum(1).mean() - (long.mean(0) ** 2).sum())))
         width = WIDTH * spread or 1.0
-        out = cls(a, rng.uniform(0, width, (TABLES, HASHES)), width, np.zeros((TABLES, HASHES), np.int64), norm, sample, min(len(sample) - 1, k * len(sample) // max(1, rows)))
+        out = cls(a, rng.uniform(0, width, (TABLES, HASHES)), width, np.zeros((TABLES, HASHES), np.int64), norm, sample, sample_ids, min(len(sample) - 1, k * len(sample) // max(1, rows)))
         out.middle = np.stack([np.floor(np.median(out._places(long, t), axis=0)) for t in range(TABLES)]).astype(np.int64)
         return out
 
@@ -92,9 +94,15 @@ class Hashing:
         slots = np.floor(self._places(self._longer(v, self.norm), table)).astype(np.int64) - self.middle[table] + SLOTS // 2
         return np.ravel_multi_index(np.clip(slots, 0, SLOTS - 1).T, [SLOTS] * HASHES)
 
-    def chances(self, q: np.ndarray, table: int, cells: np.ndarray) -> np.ndarray:
+    def chances(self, q: np.ndarray, ids: np.ndarray, table: int, cells: np.ndarray) -> np.ndarray:
         """For each query and cell, the estimated chance that the k-th neighbour lies there. Equal inputs give equal bits, wherever they are computed."""
-        near = -np.partition(-(q @ self.sample.T), self.nth, axis=1)[:, self.nth]
+        scores = q @ self.sample.T
+        # a query is no neighbour of its own
+        own = ids[:, None] == self.sample_ids
+        scores[own] = -np.inf
+        left = (~own).sum(1)
+        near = -np.sort(-scores, axis=1)[np.arange(len(q)), np.minimum(self.nth, np.maximum(left - 1, 0))]
+        near[left == 0] = 0
         # rounded, as products of other shapes may differ in their last bits
         far = np.round(np.sqrt(np.maximum(1e-12, (q**2).sum(1) + self.norm**2 - 2 * near)), 6) + 1e-6
         at = np.round(self._places(np.hstack([q, np.zeros((len(q), 1))]), table), 6)
@@ -177,7 +185,7 @@ def _visits(hashing: Hashing, blocks: Blocks, k: int):
             for i in range(0, len(ids), 64):
                 own, v = ids[i : i + 64], _matrix(batch["vector"].slice(i, 64))
                 for t in range(TABLES):
-                    chance = hashing.chances(v, t, blocks.cells[t])
+                    chance = hashing.chances(v, own, t, blocks.cells[t])
                     order = np.argsort(-chance, axis=1, kind="stable")
                     ranked = np.take_along_axis(chance, order, 1)
                     n_for_chance = (np.cumsum(ranked, 1) < SUCCESS).sum(1)
@@ -238,7 +246,7 @@ def _search(hashing: Hashing, blocks: Blocks, k: int):
                 out = []
                 for i in range(0, part.num_rows, 128):
                     q, asked, bars = _matrix(part["vector"].slice(i, 128)), part["id"].slice(i, 128).to_numpy(), part["bar"].slice(i, 128).to_numpy()
-                    allowed = hashing.chances(q, table, cells) >= bars[:, None] * (1 - 1e-9)
+                    allowed = hashing.chances(q, asked, table, cells) >= bars[:, None] * (1 - 1e-9)
                     scores = q @ rows.T
                     scores[~allowed[:, of] | (own[None] == asked[:, None])] = -np.inf
                     for j in range(len(asked)):
@@ -274,8 +282,8 @@ def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec
     # once each, or repeats take places among a block's best; combined on the map side, so a common row is light
     rows = checkpointed(rows.where(F.size("vector") == lengths["dim"]).distinct())
     n = rows.count()
-    sample = np.array([r[0] for r in rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").collect()])
-    hashing = Hashing.fit(sample, lengths["norm"], n, k)
+    picked = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("id", "vector").collect()
+    hashing = Hashing.fit(np.array([r[1] for r in picked]), np.array([r[0] for r in picked], np.int64), lengths["norm"], n, k)
 
     def cells(batches):
         for batch in batches:

@@ -261,3 +261,23 @@ def test_neighbours_of_repeated_rows(spark):
     rows = [(i, x.tolist()) for i, x in enumerate(rng.normal(size=(30, 16)))]
     assert _recall(spark, rows * 2) == 1
     assert _recall(spark, rows + rows[1:2] * 50) == 1
+
+
+def test_neighbours_of_sampled_queries(spark, monkeypatch):
+    # so few sample rows that the first stands for the k-th: a query in the sample is not that itself
+    monkeypatch.setattr(ann, "SAMPLE", 60)
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 100)
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=(8000, 16))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    from pyspark.sql import functions as F
+
+    sampled = [r.vec_id for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(60).collect()]
+    got = collections.defaultdict(set)
+    for r in ann.nearest(rows, F.col("id").isin(sampled), k=5).collect():
+        got[r.query_id].add(r.vec_id)
+    scores = v @ v.T
+    np.fill_diagonal(scores, -np.inf)
+    best = np.argsort(-scores, axis=1)[:, :5]
+    assert np.mean([len(got[q] & set(best[q].tolist())) / 5 for q in sampled]) >= 0.9

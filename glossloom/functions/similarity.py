@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossloom.profiles import HEBREW, IDF_COMMON, IDF_RARE, LONG_WEIGHT, SHORT_WEIGHT, STOP_WEIGHT, WEIGHT_RANGE, Script
@@ -52,6 +52,27 @@ def similarity(a: Column, b: Column, script: Script = HEBREW, fuzzy: bool = True
     )
 
 
+def _shorter(words: Column) -> Column:
+    """Each word without each one of its letters."""
+    less = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)))
+    return F.array_distinct(F.flatten(F.transform(words, less)))
+
+
+def similar_pairs(words: DataFrame, script: Script = HEBREW) -> DataFrame:
+    """All pairs a < b of the distinct column word that are similar at all: a, b, sim. Candidates have the stem, its skeleton, or a stem less one or two letters in common, which similarity above 0 implies."""
+    v = words.where("word != ''").select("word").distinct().withColumn("stem", stem(F.col("word"), script))
+    n, itself = F.length("stem"), F.array("stem")
+    none = F.array().cast("array<string>")
+    one = _shorter(itself)
+    # one letter is allowed from four letters on, two from seven
+    left = F.when(n >= 7, F.concat(itself, one, _shorter(one))).when(n >= 4, F.concat(itself, one)).otherwise(itself)
+    x = skeleton(F.col("stem"), script)
+    keys = F.concat(F.transform(F.array_distinct(left), lambda k: F.concat(F.lit("stem "), k)), F.when(F.length(x) >= 2, F.array(F.concat(F.lit("skeleton "), x))).otherwise(none))
+    v = v.select("word", F.explode(keys).alias("key"))
+    pairs = v.withColumnRenamed("word", "a").join(v.withColumnRenamed("word", "b"), "key").where("a < b").select("a", "b").distinct()
+    return pairs.select("a", "b", similarity(F.col("a"), F.col("b"), script).alias("sim")).where("sim > 0")
+
+
 def word_weight(word: Column, script: Script = HEBREW) -> Column:
     """Stop words and very short words say little, long words much."""
     bare = F.trim(F.regexp_replace(word, f"[{script.marks}\"'״׳]", ""))

@@ -187,6 +187,12 @@ def similarity_pairs(spark, d) -> DataFrame:
     return pairs.select("a", "b", F.round(S.similarity(F.col("a"), F.col("b"), LATIN), 6).alias("sim")).where("sim > 0")
 
 
+@query(None)
+def similarity_pairs_all(spark, d) -> DataFrame:
+    """All similar words; similarity_pairs has, as its SQL, only those whose stems begin alike."""
+    return S.similar_pairs(_vocabulary(spark, d), LATIN).select("a", "b", F.round("sim", 6).alias("sim"))
+
+
 # --- candidates -------------------------------------------------------------------------------------------------------
 
 _RUNS = f"""{V.SQL_DOCUMENT_LINES}, bw AS (SELECT item_id, ({V.sql_words('text')})[1:12] AS w FROM benchmark), lw AS (SELECT id, line_no, {V.sql_words('raw')} AS w FROM lines),

@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -80,3 +81,33 @@ def test_pass_table():
     assert passes[-1].max_width == 3 and passes[11].start_words == 4
     assert not any(p.fuzzy for p in passes_for(halacha(), fuzzy=False))
     assert len(passes_for(SHAS)) == 1
+
+
+def _by_hand(words, script):
+    own, words = S.Words(script), sorted(set(words))
+    return {(a, b): round(own.similarity(a, b), 6) for i, a in enumerate(words) for b in words[i + 1 :] if own.similarity(a, b) > 0}
+
+
+@pytest.mark.parametrize(("script", "letters"), [(LATIN, "aeiounmx"), (HEBREW, "אבוימןר")])
+def test_similar_pairs_are_all_pairs(spark, script, letters):
+    rng = random.Random(4)
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) for _ in range(250)] + ["aich", "ouch", "aiaian", "aivian"]
+    for w in words[:200]:
+        at = rng.randrange(len(w))
+        words.append(w[:at] + rng.choice(letters) + w[at + rng.randint(0, 1) :])
+    got = {(r.a, r.b): round(r.sim, 6) for r in S.similar_pairs(spark.createDataFrame([(w,) for w in words], "word string"), script).collect()}
+    assert len(got) > 100 and got == _by_hand(words, script)
+
+
+def test_similarity_pairs_all_of_the_benchmark(spark):
+    from glossloom.plans import registry
+
+    tables = "/root/testdata/sf0.01"
+    if not os.path.isdir(tables):
+        pytest.skip("no test tables")
+    words = [r.word for r in registry.QUERIES["stem_strip"](spark, tables).collect()]
+    got = {(r.a, r.b): r.sim for r in registry.QUERIES["similarity_pairs_all"](spark, tables).collect()}
+    assert got == _by_hand(words, LATIN)
+    some = {(r.a, r.b): r.sim for r in registry.QUERIES["similarity_pairs"](spark, tables).collect()}
+    print(len(words), len(some), len(got))
+    assert some.items() <= got.items() and len(some) < len(got)

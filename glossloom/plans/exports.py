@@ -84,6 +84,14 @@ def analysis_breakdown(spark, d) -> DataFrame:
     return kept.select("item_id", F.col("i").cast("long").alias("i"), "b.word", sim.alias("sim"), F.round(F.when(sim == 1, F.col("b.gain")).otherwise(0.0), 6).alias("gain"), F.when(sim == 1, "ADD").otherwise("SUB").alias("kind"))
 
 
+@query(None)
+def analysis_breakdown_whole(spark, d) -> DataFrame:
+    """Each word of a whole passage against its words from the seventh on, with what fuzzy matches give; analysis_breakdown has, as its SQL, only exact matches and short words."""
+    rows = V.read(spark, d, "benchmark").select("item_id", V.words("text").alias("w"))
+    each = rows.select("item_id", F.posexplode(E.breakdown(F.col("w"), F.slice("w", 7, F.greatest(F.size("w"), F.lit(1))), lambda w: S.word_weight(w, LATIN), LATIN)).alias("i", "b"))
+    return each.select("item_id", F.col("i").cast("long").alias("i"), "b.word", F.round("b.sim", 6).alias("sim"), F.round("b.gain", 6).alias("gain"), "b.kind")
+
+
 @query("""SELECT item_id, regexp_replace(text, '^(\\s*)(\\S+\\s+\\S+)', '\\1<b>\\2</b>') AS line FROM benchmark WHERE regexp_matches(text, '^\\s*\\S+\\s+\\S+')""")
 def highlight_segments(spark, d) -> DataFrame:
     """The first two words of passages, marked."""

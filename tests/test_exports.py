@@ -122,3 +122,24 @@ def test_cross_references(spark):
     links = spark.createDataFrame([(1, 5, "rashi"), (2, 6, "rashi"), (3, 5, None)], "line_index_1 int, line_index_2 int, secondary_target string")
     xref = spark.createDataFrame([("rashi", 5, 70, 2), ("rashi", 5, 60, 1), ("tosafot", 6, 1, 1)], "series string, line_index_1 int, line_index_2 int, nth int")
     assert {r.line_index_1: r.primary_line for r in exports.crossed(links, xref).collect()} == {1: 60, 2: None, 3: None}
+
+
+def test_analysis_breakdown_of_whole_passages(spark, tmp_path):
+    from glossloom.functions import similarity as S
+    from glossloom.plans import registry
+    from glossloom.plans import tables as V
+    from glossloom.profiles import LATIN
+
+    texts = ["alpha bravo", "", None, "the colour of a river is not the color of rivers nor of aich or ouch " * 2, "remember winter and summer one two three remembers wintr somer alpha four"]
+    passages = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "item_id long, text string")
+    passages.write.parquet(f"{tmp_path}/benchmark.parquet")
+    own, want = S.Words(LATIN), set()
+    for r in passages.select("item_id", V.words("text").alias("w")).collect():
+        for i, word in enumerate(r.w or []):
+            sim = max((own.similarity(word, other) for other in r.w[6:]), default=0.0)
+            want.add((r.item_id, i, word, round(sim, 6), round(sim * own.weight(word), 6), "ADD" if sim >= 0.75 else "SUB"))
+    rows = registry.QUERIES["analysis_breakdown_whole"](spark, str(tmp_path)).collect()
+    assert {(r.item_id, r.i, r.word, r.sim, r.gain, r.kind) for r in rows} == want and len(rows) == len(want)
+    assert {kind for *_, sim, _, kind in want if 0 < sim < 1} == {"ADD"} and any(len(x[2]) > 3 and x[5] == "SUB" for x in want)
+    old = {(r.item_id, r.i) for r in registry.QUERIES["analysis_breakdown"](spark, str(tmp_path)).collect()}
+    assert old < {x[:2] for x in want}

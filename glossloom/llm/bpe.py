@@ -4,27 +4,36 @@ A text is cut at the matches of the tokenizer's pattern. Words not met before
 go to DuckDB as token-position rows, one for each byte. A recursive query joins
 neighbours with the merge table, takes each word's leftmost pair of least rank,
 contracts it, and so on until no word has a pair left; ordered aggregation
-gives the ids. Decoding joins position rows with the vocabulary and aggregates
-their bytes in order.
+gives the ids. Decoding knows the ids only: position rows of whole texts join
+the vocabulary, and ordered aggregation puts their bytes together.
 
 A word's ids depend on the word alone, so a task keeps those it met last, in
 two generations of bounded size. Words over LONG_BYTES take a variant of the
 recursion that keeps only the last state of each position and contracts all of
-a word's pairs of least rank at once, wherever that provably equals doing it
-one by one; else it takes the leftmost.
+a word's pairs of least rank at once, wherever that equals doing it one by one;
+else it takes the leftmost. Why that is equal: contracted from left to right, a
+pair meets on its left what is contracted already and on its right what is not
+yet. So the pairs that come about on the way are those of the state after all
+contractions, and those of a new token with the token that stood behind it
+before. If none of them has a lesser rank, the leftmost pair of least rank is
+always the next of those found; none can have the same rank, as the rank names
+the contracted bytes and theirs are more. Both kinds are looked at.
 
 Results: a null or empty text has no tokens and decodes to no bytes; each row
-gives one row, also where ids are null or equal. Other columns are left out.
+gives one row, also where ids are null or equal. An id that the vocabulary does
+not have is an error. Other columns are left out.
 """
 
 from __future__ import annotations
 
 import base64
 from collections.abc import Iterable
+from itertools import chain
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,20 +64,20 @@ SELECT (k // 128)::INT AS w, (k % 128)::INT AS pos, tok FROM t JOIN (SELECT k //
 """
 
 # tok is -1 where a position was contracted away. `pick` holds the pairs of least rank to contract, every second
-# of a run of overlapping ones; `risky` the words in which contracting them all makes a pair of a lesser rank still.
+# of a run of overlapping ones; `risky` the words in which contracting them one by one would make a pair of a lesser rank on the way.
 _LONG = """
 WITH RECURSIVE t(w, pos, tok) USING KEY (w, pos) AS (
   SELECT w, pos, tok FROM given
   UNION (
     WITH live AS (SELECT w, pos, tok FROM recurring.t WHERE tok >= 0),
-    pairs AS (SELECT w, pos, tok, row_number() OVER word AS i, lead(tok) OVER word AS next_tok, lead(pos) OVER word AS next_pos FROM live WINDOW word AS (PARTITION BY w ORDER BY pos)),
+    pairs AS (SELECT w, pos, tok, row_number() OVER word AS i, lead(tok) OVER word AS next_tok, lead(pos) OVER word AS next_pos, lead(tok, 2) OVER word AS third FROM live WINDOW word AS (PARTITION BY w ORDER BY pos)),
     ranked AS (SELECT pairs.*, merged FROM pairs JOIN merges ON tok = l AND next_tok = r),
     least AS (SELECT *, i - row_number() OVER (PARTITION BY w ORDER BY i) AS run FROM ranked QUALIFY merged = min(merged) OVER (PARTITION BY w)),
-    found AS (SELECT w, pos, i, next_pos, merged FROM (SELECT *, i - min(i) OVER (PARTITION BY w, run) AS nth FROM (SELECT w, pos, i, next_pos, merged, i - row_number() OVER (PARTITION BY w ORDER BY i) AS run FROM least)) WHERE nth % 2 = 0),
+    found AS (SELECT w, pos, i, next_pos, third, merged FROM (SELECT *, i - min(i) OVER (PARTITION BY w, run) AS nth FROM (SELECT w, pos, i, next_pos, third, merged, i - row_number() OVER (PARTITION BY w ORDER BY i) AS run FROM least)) WHERE nth % 2 = 0),
     after AS (SELECT p.w, p.pos, coalesce(f.merged, p.tok) AS tok, f.merged IS NOT NULL AS fresh FROM pairs p LEFT JOIN found f ON f.w = p.w AND f.pos = p.pos WHERE NOT EXISTS (FROM found g WHERE g.w = p.w AND g.next_pos = p.pos)),
     met AS (SELECT w, tok, lead(tok) OVER word AS next_tok, fresh OR lead(fresh) OVER word AS fresh FROM after WINDOW word AS (PARTITION BY w ORDER BY pos)),
     rank AS (SELECT w, min(merged) AS rank, min(pos) AS first FROM found GROUP BY w),
-    risky AS (SELECT DISTINCT w FROM met JOIN merges ON tok = l AND next_tok = r JOIN rank USING (w) WHERE fresh AND merged < rank),
+    risky AS (SELECT DISTINCT w FROM (SELECT w, tok, next_tok FROM met WHERE fresh UNION ALL SELECT w, merged, third FROM found) JOIN merges ON tok = l AND next_tok = r JOIN rank USING (w) WHERE merged < rank),
     pick AS (SELECT f.* FROM found f JOIN rank USING (w) WHERE f.pos = rank.first OR f.w NOT IN (FROM risky))
     SELECT p.w, p.pos, CASE WHEN f.pos IS NOT NULL THEN f.merged ELSE -1 END
     FROM pairs p LEFT JOIN pick f ON f.w = p.w AND f.pos = p.pos LEFT JOIN pick g ON g.w = p.w AND g.next_pos = p.pos WHERE f.pos IS NOT NULL OR g.pos IS NOT NULL
@@ -76,8 +85,9 @@ WITH RECURSIVE t(w, pos, tok) USING KEY (w, pos) AS (
 )
 SELECT w, pos, tok FROM t WHERE tok >= 0
 """
-_IDS = "SELECT w, array_to_string(list(tok ORDER BY pos), ',') AS ids, unhex(string_agg(hex, '' ORDER BY pos)) AS decoded FROM ({}) JOIN vocabulary USING (tok) GROUP BY w"
-_DECODE = "SELECT w, unhex(string_agg(hex, '' ORDER BY pos)) AS decoded FROM given LEFT JOIN vocabulary USING (tok) GROUP BY w"
+_IDS = "SELECT w, list(tok ORDER BY pos) AS ids FROM ({}) GROUP BY w"
+# a byte is the character of its number, so that strings can be put together
+_DECODE = "SELECT w, string_agg(bytes, '' ORDER BY pos) AS decoded, bool_and(bytes IS NOT NULL) AS known FROM given LEFT JOIN vocabulary USING (tok) GROUP BY w"
 
 
 class Tokenizer:
@@ -87,16 +97,17 @@ class Tokenizer:
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.split = regex.compile(pattern).findall
-        self.whole = {t: str(rank) for t, rank in ranks.items()}
+        # a word that is a token is not contracted, as the tiktoken library does it
+        self.whole = {t: np.int32(rank).tobytes() for t, rank in ranks.items()}
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         merges = [(ranks[t[:i]], ranks[t[i:]], rank) for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self.merges = pa.table([pa.array(c, pa.int32()) for c in zip(*merges, strict=True)], ["l", "r", "merged"])
-        self.vocabulary = pa.table({"tok": pa.array(ranks.values(), pa.int32()), "hex": pa.array([t.hex() for t in ranks])})
+        self.vocabulary = pa.table({"tok": pa.array(ranks.values(), pa.int32()), "bytes": pa.array([t.decode("latin-1") for t in ranks])})
         self.db: duckdb.DuckDBPyConnection | None = None
-        self.young: dict[str, str] = {}
-        self.old: dict[str, str] = {}
+        # words to their ids, as the bytes of 32-bit numbers
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.common: set[str] = set()
-        self.odd: dict[str, bytes] = {}  # words that decode to other bytes than their own; there should be none
 
     def _query(self, sql: str, w: np.ndarray, pos: np.ndarray, tok: np.ndarray) -> pa.Table:
         if self.db is None:
@@ -111,33 +122,35 @@ class Tokenizer:
         finally:
             self.db.unregister("given")
 
-    def encode_words(self, words: list[str]) -> dict[str, str]:
-        """Ids of distinct words, joined by commas."""
-        raw = [w.encode() for w in words]
-        # a word that is a token is not contracted, as the tiktoken library does it
-        found = {w: ids for w, r in zip(words, raw, strict=True) if (ids := self.whole.get(r)) is not None}
-        order = sorted((i for i in range(len(words)) if words[i] not in found), key=lambda i: len(raw[i]))
+    def encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of distinct words."""
+        found, rest = {}, []
+        for word in words:
+            raw = word.encode()
+            if (own := self.whole.get(raw)) is not None:
+                found[word] = own
+            else:
+                rest.append((len(raw), word, raw))
+        rest.sort(key=lambda x: x[0])
         at = 0
-        while at < len(order):
-            to, size, long = at, 0, len(raw[order[at]]) > LONG_BYTES
-            while to < len(order) and to - at < BATCH_WORDS and (to == at or size + len(raw[order[to]]) <= BATCH_BYTES) and (len(raw[order[to]]) > LONG_BYTES) == long:
-                size += len(raw[order[to]])
+        while at < len(rest):
+            to, size, long = at, 0, rest[at][0] > LONG_BYTES
+            while to < len(rest) and to - at < BATCH_WORDS and (to == at or size + rest[to][0] <= BATCH_BYTES) and (rest[to][0] > LONG_BYTES) == long:
+                size += rest[to][0]
                 to += 1
-            own = order[at:to]
-            lengths = np.array([len(raw[i]) for i in own])
-            data = np.frombuffer(b"".join(raw[i] for i in own), np.uint8)
-            pos = np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            table = self._query(_IDS.format(_LONG if long else _STEP), np.repeat(np.arange(len(own)), lengths), pos, self.of_byte[data])
-            for w, ids, decoded in zip(table["w"].to_pylist(), table["ids"].to_pylist(), table["decoded"].to_pylist(), strict=True):
-                found[words[own[w]]] = ids
-                if decoded != raw[own[w]]:
-                    self.odd[words[own[w]]] = decoded
+            own = rest[at:to]
+            lengths = np.array([n for n, _, _ in own])
+            data = np.frombuffer(b"".join(raw for _, _, raw in own), np.uint8)
+            table = self._query(_IDS.format(_LONG if long else _STEP), np.repeat(np.arange(len(own)), lengths), _places(lengths), self.of_byte[data]).combine_chunks()
+            ids = table["ids"].combine_chunks()
+            offsets, raw = ids.offsets.to_numpy() * 4, ids.values.to_numpy().tobytes()
+            for w, a, z in zip(table["w"].to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                found[own[w][1]] = raw[a:z]
             at = to
         return found
 
-    def encode(self, texts: Iterable[str]) -> list[tuple[str, bytes]]:
-        """For each text its ids, joined by commas, and the bytes that they decode to."""
-        texts = list(texts)
+    def encode(self, texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where those of each begin; the last entry is the end."""
         cut = [self.split(t) for t in texts]
         need = set().union(*cut) if cut else set()
         here = {w: ids for w in need if (ids := self.young.get(w) or self.old.get(w)) is not None}
@@ -147,9 +160,13 @@ class Tokenizer:
         if len(self.young) > KNOWN_WORDS:
             self.old, self.young = self.young, {}
         self.young.update((w, ids) for w, ids in here.items() if len(w) <= LONG_BYTES)
-        out = [(",".join(map(here.__getitem__, words)), b"".join(self.odd.get(w, w.encode()) for w in words) if self.odd else "".join(words).encode()) for words in cut]
-        self.odd.clear() if len(self.odd) > KNOWN_WORDS else None
-        return out
+        sizes = np.fromiter((len(x) for x in here.values()), np.int64, len(here)) // 4
+        every, first = np.frombuffer(b"".join(here.values()), np.int32), np.cumsum(sizes) - sizes
+        number = dict(zip(here, range(len(here)), strict=True))
+        words = np.fromiter(map(number.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
+        own = sizes[words]
+        ends = np.concatenate([[0], np.cumsum(own)])
+        return every[np.repeat(first[words], own) + _places(own)], ends[np.cumsum([0, *map(len, cut)])]
 
     def forget(self) -> None:
         """All but words met repeatedly; the database gives its memory back."""
@@ -157,23 +174,38 @@ class Tokenizer:
             self.db.close()
             self.db = None
         self.young = {w: ids for w in self.common if len(w) <= LONG_BYTES and (ids := self.young.get(w) or self.old.get(w)) is not None}
-        self.old, self.odd, self.common = {}, {}, set()
+        self.old, self.common = {}, set()
         pa.default_memory_pool().release_unused()
 
-    def decode(self, ids: list[list[int]]) -> list[bytes]:
-        """The bytes of each list of ids."""
-        lengths = np.array([len(x) for x in ids], np.int64)
-        if not lengths.sum():
-            return [b""] * len(ids)
-        tok = np.concatenate([np.array(x, np.int64) for x in ids])
-        pos = np.arange(len(tok)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        out = [b""] * len(ids)
-        table = self._query(_DECODE, np.repeat(np.arange(len(ids)), lengths), pos, tok)
-        for w, decoded in zip(table["w"].to_pylist(), table["decoded"].to_pylist(), strict=True):
-            out[w] = decoded
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """The bytes that ids[offsets[i] : offsets[i + 1]] stand for."""
+        lengths = np.diff(offsets)
+        out = [b""] * len(lengths)
+        if len(ids):
+            table = self._query(_DECODE, np.repeat(np.arange(len(lengths)), lengths), _places(lengths), ids)
+            if not all(table["known"].to_pylist()):
+                raise ValueError("an id is not in the vocabulary")
+            for w, decoded in zip(table["w"].to_pylist(), table["decoded"].to_pylist(), strict=True):
+                out[w] = decoded.encode("latin-1")
         return out
 
 
+def _places(lengths: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of lengths."""
+    return np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
+def _joined(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Decimal ids of each text, joined by commas."""
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pc.cast(pa.array(ids), pa.string())), ",")
+
+
+def _parted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The other way round."""
+    rows = [np.array(x.split(","), np.int64) if x else np.zeros(0, np.int64) for x in texts.to_pylist()]
+    return np.concatenate([*rows, np.zeros(0, np.int64)]), np.cumsum([0, *map(len, rows)])
+
+
 _made: dict[tuple[str, str], Tokenizer] = {}
 
 
@@ -191,8 +223,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
         tok = tokenizer(ranks_path, pattern)
         try:
             for t in text_blocks(batches, "text", TEXT_BYTES):
-                done = tok.encode(x or "" for x in t.batch["text"].to_pylist())
-                yield pa.RecordBatch.from_pydict({"doc_id": t.batch["doc_id"], "n_tokens": pa.array([ids.count(",") + 1 if ids else 0 for ids, _ in done], pa.int64()), "token_ids": pa.array([ids for ids, _ in done], pa.string()), "decoded": pa.array([x for _, x in done], pa.binary())})
+                ids, offsets = tok.encode(x or "" for x in t.batch["text"].to_pylist())
+                yield pa.RecordBatch.from_pydict({"doc_id": t.batch["doc_id"], "n_tokens": pa.array(np.diff(offsets), pa.int64()), "token_ids": _joined(ids, offsets), "decoded": pa.array(tok.decode(ids, offsets), pa.binary())})
         finally:
             # the process may serve other operators for hours
             tok.forget()
@@ -206,9 +238,11 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "
 
     def run(batches):
         tok = tokenizer(ranks_path, pattern)
-        for t in text_blocks(batches, "ids"):
-            ids = [[int(i) for i in x.split(",")] if x else [] for x in t.batch["ids"].to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": t.batch["doc_id"], "decoded": pa.array(tok.decode(ids), pa.binary())})
+        try:
+            for t in text_blocks(batches, "ids", TEXT_BYTES):
+                yield pa.RecordBatch.from_pydict({"doc_id": t.batch["doc_id"], "decoded": pa.array(tok.decode(*_parted(t.batch["ids"])), pa.binary())})
+        finally:
+            tok.forget()
 
     rows = encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("string").alias("ids"))
     return rows.mapInArrow(run, "doc_id long, decoded binary")

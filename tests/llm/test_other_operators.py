@@ -162,19 +162,38 @@ def tokenizers():
     return bpe.Tokenizer(RANKS, PATTERN), tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def _ids(encoded):
+    ids, offsets = encoded
+    return [ids[a:z].tolist() for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
 def test_bpe_is_tiktoken(tokenizers):
     ours, theirs = tokenizers
 
-    @given(st.one_of(st.text(max_size=60), st.text(alphabet="ab theinÉ日'1 \n", max_size=300), st.text(alphabet="abt", min_size=60, max_size=400)))
+    @given(st.lists(st.one_of(st.text(max_size=60), st.text(alphabet="ab theinÉ日'1 \n", max_size=300), st.text(alphabet="abt", min_size=60, max_size=400), st.text(alphabet="ainerstu", min_size=60, max_size=200)), max_size=3))
     @settings(max_examples=250, deadline=None)
-    def same(text):
-        [(ids, decoded)] = ours.encode([text])
-        assert ids == ",".join(map(str, theirs.encode_ordinary(text))) and decoded == text.encode()
-        assert ours.decode([[int(i) for i in ids.split(",")] if ids else []]) == [text.encode()]
+    def same(texts):
+        encoded = ours.encode(texts)
+        assert _ids(encoded) == [theirs.encode_ordinary(t) for t in texts]
+        assert ours.decode(*encoded) == [t.encode() for t in texts]
+        assert [x or "" for x in bpe._joined(*encoded).to_pylist()] == [",".join(map(str, ids)) for ids in _ids(encoded)]
+        assert _ids(bpe._parted(bpe._joined(*encoded))) == _ids(encoded)
 
     same()
     for text in ("a" * 20_000, "ab" * 5000, "日本" * 3000):
-        assert ours.encode([text])[0][0] == ",".join(map(str, theirs.encode_ordinary(text)))
+        assert _ids(ours.encode([text])) == [theirs.encode_ordinary(text)]
+
+
+def test_bpe_decodes_the_ids(tokenizers):
+    ids, offsets = tokenizers[0].encode(["one text", "", "another of them"])
+    for i in range(len(ids)):
+        other = ids.copy()
+        other[i] = ids[i] % 5000 + 300
+        want = [tokenizers[1].decode_bytes(x) for x in _ids((other, offsets))]
+        assert tokenizers[0].decode(other, offsets) == want
+    ids[0] = 10_000_000
+    with pytest.raises(ValueError, match="vocabulary"):
+        tokenizers[0].decode(ids, offsets)
 
 
 def test_bpe_query(spark, tokenizers):

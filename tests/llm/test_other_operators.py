@@ -223,6 +223,57 @@ def test_html_templates(box):
     assert html_extract.main_text(page) == TEXT
 
 
+INSIDE = [
+    ("<ul><li><a href=/1>First source</a></li><li><a href=/2>Second source</a></li><li><a href=/3>Third source</a></li></ul>", "First source Second source Third source"),
+    ("<p class='social-history'>Of social history.</p><p id='banner-bearers'>Those who bore banners.</p><h2 id='related'>Related</h2>", "Of social history. Those who bore banners. Related"),
+    ("<section class='related-work'><p>Others did this.</p></section>", "Others did this."),
+    ("<div class='share-buttons'><a href=/s>Share</a></div><div id='cookieNotice'>We use cookies.</div><p class='ad'>Buy.</p>", ""),
+    ("<header><p>By the author</p></header><blockquote>Said\n\tshe</blockquote><table><tr><td>1<td>2</table>", "By the author Said she 1 2"),
+    ("<![foo[x]]><!-- a > b --><p title='a>b'>Odd</p><?x y?>", "Odd"),
+    ("<!-- left out --!><p>a &lt; b &#x26; c&nbsp;d</p>", "a < b & c d"),
+]
+
+
+@pytest.mark.parametrize("box", ["article", "main"])
+@pytest.mark.parametrize(("html", "text"), INSIDE)
+def test_html_inside_articles(box, html, text):
+    page = f"<body>{AROUND}<{box}>{ARTICLE}{html}<p>The last paragraph.</p></{box}>{AFTER}"
+    assert html_extract.main_text(page) == f"{TEXT} {text} The last paragraph.".replace("  ", " ")
+
+
+def test_html_generated_pages():
+    """Pages made of parts with known text, in many arrangements."""
+    rng = random.Random(4)
+    words = lambda n: " ".join(rng.choice("the of and river bridge town stone water light over under between".split()) for _ in range(n)).capitalize() + "."
+    links = lambda n: "".join(f"<li><a href='/{k}'>{words(2)}</a></li>" for k in range(n))
+    menus = [lambda: f"<nav><ul>{links(6)}</ul></nav>", lambda: f"<div class='{rng.choice(('main-menu', 'topbar', 'breadcrumbs'))}'><ul>{links(4)}</ul></div>", lambda: f"<header><a href='/'>{words(2)}</a><p>{words(6)}</p></header>"]
+    others = [lambda: f"<aside><p>{words(30)}</p></aside>", lambda: f"<div class='ad {rng.choice(('slot-1', 'top', 'box'))}'>{words(20)}</div>", lambda: f"<div id='cookie-notice'><p>{words(25)}</p><button>{words(1)}</button></div>", lambda: f"<form>{words(4)}<input></form>", lambda: f"<script>var x = '<p>{words(9)}</p>';</script>", lambda: f"<style>p {{}}</style><!-- {words(5)} -->"]
+    ends = [lambda: f"<section class='{rng.choice(('comments', 'comment-list', 'user-comments'))}'><div class='comment'><p>{words(40)}</p></div><div class='comment'>{words(12)}</div></section>", lambda: f"<footer>{words(12)}</footer>", lambda: f"<div role='contentinfo'>{words(9)}</div>"]
+    for _ in range(300):
+        want, html = [], ""
+        for k in range(rng.randint(2, 9)):
+            w = words(rng.randint(15, 60) if k < 2 else rng.choice((1, 3, 30, 70)))
+            want.append(w)
+            html += rng.choice((f"<p>{w}</p>", f"<p>{w}", f"<p><b>{w}</b></p>", f"<div>{w}</div>", f"<p>\n  {w.replace(' ', chr(10) + ' ')}\t</p>"))
+            if rng.random() < 0.2:
+                html += rng.choice(others)()
+        title = words(5)
+        box = rng.choice(("article", "main", "div id='content'", "section", "div class='post-body'"))
+        page = "".join(m() for m in rng.sample(menus, rng.randint(0, 3))) + "".join(o() for o in rng.sample(others, rng.randint(0, 3)))
+        page += f"<{box}><h1>{title}</h1>{html}</{box.split()[0]}>" + "".join(e() for e in rng.sample(ends, rng.randint(0, 3)))
+        assert html_extract.main_text(f"<html><head><title>{words(3)}</title></head><body>{page}</body></html>") == " ".join([title, *want]), page
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a x="', "<!--", "</", "<!", "<?", "<![", "<a x='y\"", "<", "&", "<script>", "<p>", "<a/", "<div class='a"])
+def test_html_takes_linear_time(piece):
+    import time
+
+    began = time.process_time()
+    for end in ("", ">", "'>"):
+        html_extract.main_text(piece * (1_000_000 // len(piece)) + end)
+    assert time.process_time() - began < 30
+
+
 def test_html_edge_cases(spark):
     pages = [(1, "u", None), (2, None, ""), (3, "u", "plain &lt;text&gt;"), (None, None, "<p>a<p>b"), (4, "u", "<div>" * 5000 + "deep" + "</div>" * 10), (5, "u", "<p>" + "word " * 200_000 + "</p>"), (6, "u", "<nav>only</nav>"), (7, "u", "<p>x &am"), (7, "u", "<p>x &am")]
     got = html_extract.digest(html_extract.extract(frame(spark, pages, "page_id long, url string, html string"))).collect()

@@ -10,7 +10,8 @@ inside any full window, the one of the least hash is an anchor. The choice
 depends on the words alone, so if a full window repeats, its anchor repeats
 with it, and about one word in fourteen is an anchor. An anchor that repeats is
 extended to both sides; a full window stays a candidate only if the extension
-that lies inside it repeats as well.
+that lies inside it repeats as well. Up to here hashes from prefix sums do, as they
+only choose; a full window is known by an XXH3 hash of 128 bits of its words.
 
 Results: a null text has no words, and neither has an empty or all-blank one;
 they keep the empty string. Each row is a document of its own, so two equal
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,9 +79,18 @@ class _Block:
         return np.flatnonzero(inside & (self.left >= self.window))
 
     def keys(self, starts: np.ndarray) -> np.ndarray:
-        """Two independent hashes of the full windows at starts."""
-        other = WindowHasher(word_hashes(self.texts.data, self.words, 1), 1)
-        return np.stack([self.by.at(starts, self.window), other.at(starts, self.window)], 1)
+        """128-bit hashes of the full windows at starts: of their words, joined by one space."""
+        if not len(starts):
+            return np.zeros((0, 2), np.uint64)
+        # each word and a space, one after the other
+        lengths = self.words.ends - self.words.starts + 1
+        ends = np.cumsum(lengths)
+        at = np.repeat(self.words.starts - (ends - lengths), lengths) + np.arange(ends[-1])
+        data = np.append(self.texts.data, np.uint8(0x20))[np.minimum(at, len(self.texts.data))]
+        data[ends - 1] = 0x20
+        joined, digest = memoryview(data.tobytes()), xxhash.xxh3_128_digest
+        first, last = (ends - lengths)[starts], ends[starts + self.window - 1] - 1
+        return np.frombuffer(b"".join([digest(joined[a:z]) for a, z in zip(first.tolist(), last.tolist(), strict=True)]), np.uint64).reshape(-1, 2)
 
 
 def _join(parts: list[np.ndarray], empty: tuple[int, ...] = (0,)) -> np.ndarray:

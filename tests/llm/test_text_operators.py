@@ -43,6 +43,16 @@ def test_substring_dedup(spark, window):
     assert rows(got) == want
 
 
+def test_substring_dedup_of_words_that_prefix_sums_confuse(spark):
+    """Two words of 1,024 bytes for which any polynomial modulo 2^64 with an odd base is the same."""
+    one = "a"
+    for _ in range(10):
+        one += one.translate(str.maketrans("ab", "ba"))
+    rest = [f"w{k}" for k in range(34)]
+    docs = [(1, " ".join([one, *rest])), (2, " ".join([one.translate(str.maketrans("ab", "ba")), *rest])), (3, " ".join(["c", one, *rest[:20]]))]
+    assert [r.n_removed for r in substring_dedup.removed_spans(plain(spark, docs)).orderBy("doc_id").collect()] == [0, 0, 0]
+
+
 def test_substring_dedup_over_units(spark, monkeypatch):
     monkeypatch.setattr(units, "UNIT_BYTES", 2000)
     monkeypatch.setattr(units, "RANGE_HASHES", 50)

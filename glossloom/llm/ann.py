@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossloom.llm.common import checkpointed
-from glossloom.llm.units import streamed
+from glossloom.llm.units import grouped
 
 NEIGHBOURS = 20
 TABLES = 2
@@ -263,8 +263,8 @@ def _search(hashing: Hashing, blocks: Blocks, k: int):
 
 def _merge(k: int):
     def run(batches):
-        for query, rows in streamed(batches, "query_id"):
-            ids, scores = _best(np.array([i for r in rows for i in r["ids"]], np.int64), np.array([s for r in rows for s in r["scores"]]), k)
+        for query, rows in grouped(batches, "query_id"):
+            ids, scores = _best(rows["ids"].combine_chunks().flatten().to_numpy(zero_copy_only=False), rows["scores"].combine_chunks().flatten().to_numpy(zero_copy_only=False), k)
             yield pa.RecordBatch.from_arrays([pa.array([query] * len(ids), pa.int64()), pa.array(range(1, len(ids) + 1), pa.int32()), pa.array(ids), pa.array(scores)], ["query_id", "rank", "vec_id", "score"])
 
     return run

@@ -7,8 +7,11 @@ The index has one row for each shard, a range of key hashes: the exact table
 (128-bit key hash -> number of documents that hold it) and a cuckoo filter over
 the keys that reach min_docs. Documents are inserted and deleted by adding or
 subtracting their references; a key that crosses the bound enters or leaves the
-filter, so deleting what was inserted gives back the index as it was. A lookup
-asks the filter first and settles what it reports by the exact table.
+filter, so deleting what was inserted gives back the exact table and the set of
+keys in the filter as they were; a filter that had to grow stays grown. The
+index knows keys, not documents: to delete one that was not inserted is an
+error only if some line of it is not there as often. A lookup asks the filter
+first and looks in the exact table for what it reports, and for nothing else.
 
 Documents come in packed units; a unit sends each distinct key once to its
 shard with its number of documents, so a line that every document holds is as
@@ -17,7 +20,7 @@ light as any other, and one bit for each comes back.
 Results: a null or empty text is one empty line, which is never dropped. Each
 row is a document of its own, equal ids or not. White space is [\\x20\\x09-\\x0D]
 only. An empty table gives an empty result. All other columns pass through
-`drop_lines` unchanged, whatever their names.
+`drop_lines` unchanged, whatever their names; `counted` leaves them out.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossloom.llm.common import checkpointed
-from glossloom.llm.units import ANSWER, Sent, flags_of, ranges_for, send, streamed, units, with_answers
+from glossloom.llm.units import ANSWER, Sent, answer_of, flags_of, grouped, packed_bytes, ranges_for, send, units, with_answers
 
 MIN_DOCS = 10
 _SLOTS = 4
@@ -100,6 +103,20 @@ def _keys(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint64).reshape(-1, 2)
 
 
+def _refs(keys: np.ndarray, refs: np.ndarray, sought: np.ndarray) -> np.ndarray:
+    """The references of each sought key; keys are in order."""
+    out = np.zeros(len(sought), np.int64)
+    if not len(keys):
+        return out
+    first = keys[:, 0]
+    at = np.searchsorted(first, sought[:, 0])
+    begins = np.flatnonzero(np.append(True, first[1:] != first[:-1]))
+    for step in range(int(np.diff(np.append(begins, len(first))).max())):
+        own = np.minimum(at + step, len(keys) - 1)
+        out = np.where((keys[own] == sought).all(1), refs[own], out)
+    return out
+
+
 def line_key(line: bytes) -> bytes:
     return line.strip().lower()  # bytes.strip() and bytes.lower() know ASCII only
 
@@ -162,11 +179,13 @@ class LineIndex:
         rows = own.unionByName(sent.select("part", "unit", "keys", "counts", F.lit(None).cast("binary").alias("filter")))
 
         def run(batches):
-            for part, group in streamed(batches, "part"):
-                before = next(({"keys": r["keys"], "refs": r["counts"], "filter": r["filter"]} for r in group if r["unit"] < 0), None)
-                new = [r for r in group if r["unit"] >= 0]
-                counts = np.frombuffer(b"".join(r["counts"] for r in new), np.uint32).astype(np.int64)
-                row = _combined(before, _keys(b"".join(r["keys"] for r in new)), sign * counts, min_docs)
+            for part, group in grouped(batches, "part"):
+                # the index's row has unit -1 and sorts first
+                old = group["unit"][0].as_py() < 0
+                before = {"keys": group["keys"][0].as_py(), "refs": group["counts"][0].as_py(), "filter": group["filter"][0].as_py()} if old else None
+                new = group.slice(int(old))
+                keys, counts = packed_bytes(new["keys"])[0].view(np.uint64).reshape(-1, 2), packed_bytes(new["counts"])[0].view(np.uint32).astype(np.int64)
+                row = _combined(before, keys, sign * counts, min_docs)
                 yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), **{k: pa.array([v], pa.binary()) for k, v in row.items()}})
 
         table = rows.repartition("part").sortWithinPartitions("part", "unit").mapInArrow(run, INDEX)
@@ -188,19 +207,19 @@ class LineIndex:
         rows = own.unionByName(sent.select("part", "unit", "keys", none.alias("refs"), none.alias("filter")))
 
         def run(batches):
-            for part, group in streamed(batches, "part"):
-                index = next((r for r in group if r["unit"] < 0), None)
-                filter_ = CuckooFilter(np.frombuffer(index["filter"], np.uint16).reshape(-1, _SLOTS)) if index else None
-                exact = {k.tobytes() for k, n in zip(_keys(index["keys"]), np.frombuffer(index["refs"], np.int64), strict=True) if n >= min_docs} if index else set()
-                asked = [r for r in group if r["unit"] >= 0]
-                flags = []
-                for r in asked:
-                    keys = _keys(r["keys"])
-                    found = filter_.may_hold(keys) if filter_ else np.zeros(len(keys), bool)
-                    for i in np.flatnonzero(found):
-                        found[i] = keys[i].tobytes() in exact
-                    flags.append(np.packbits(found).tobytes())
-                yield pa.RecordBatch.from_pydict({"unit": pa.array([r["unit"] for r in asked], pa.int64()), "part": pa.array([part] * len(asked), pa.int64()), "flags": pa.array(flags, pa.binary())})
+            for _, group in grouped(batches, "part"):
+                old = group["unit"][0].as_py() < 0
+                asked = group.slice(int(old))
+                if not asked.num_rows:
+                    continue
+                raw, at = packed_bytes(asked["keys"])
+                keys = raw.view(np.uint64).reshape(-1, 2)
+                found = np.zeros(len(keys), bool)
+                if old:
+                    filter_ = CuckooFilter(np.frombuffer(group["filter"][0].as_py(), np.uint16).reshape(-1, _SLOTS))
+                    hits = np.flatnonzero(filter_.may_hold(keys))
+                    found[hits] = _refs(_keys(group["keys"][0].as_py()), np.frombuffer(group["refs"][0].as_py(), np.int64), keys[hits]) >= min_docs
+                yield answer_of(asked, found, np.diff(at) // 16)
 
         return rows.repartition("part").sortWithinPartitions("part", "unit").mapInArrow(run, ANSWER)
 
@@ -212,19 +231,26 @@ def index_of(packed: DataFrame, *, text_col: str = "text", min_docs: int = MIN_D
     return empty.insert(sent), sent
 
 
-def drop_lines(docs: DataFrame, *, text_col: str = "text", min_docs: int = MIN_DOCS, counts: bool = False) -> DataFrame:
-    """docs with the lines gone whose keys min_docs documents hold; all columns stay. With counts: __n_lines and __n_dropped besides."""
+def drop_lines(docs: DataFrame, *, text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+    """docs with the lines gone whose keys min_docs documents hold; all columns stay."""
     packed = units(docs)
     index, sent = index_of(packed, text_col=text_col, min_docs=min_docs)
-    return apply_index(docs.schema, packed, index, sent, text_col=text_col, counts=counts)
+    return apply_index(docs.schema, packed, index, sent, text_col=text_col)
+
+
+def counted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+    """For each row: doc_id, text (what stays), n_lines (before dropping), n_dropped."""
+    packed = units(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+    index, sent = index_of(packed, min_docs=min_docs)
+    return with_answers(packed, index.frequent(sent).withColumn("level", F.lit(0)), _dropped("text", index.shards, True), "doc_id long, text string, n_lines long, n_dropped long")
+
 
+def apply_index(schema, packed: DataFrame, index: LineIndex, sent: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """Packed documents without the lines that are frequent in the index. sent: their keys, by index.keys_of."""
+    return with_answers(packed, index.frequent(sent).withColumn("level", F.lit(0)), _dropped(text_col, index.shards, False), schema)
 
-def apply_index(schema, packed: DataFrame, index: LineIndex, sent: DataFrame, *, text_col: str = "text", counts: bool = False) -> DataFrame:
-    shards = index.shards
-    out = schema
-    if counts:
-        out = type(schema)(list(schema.fields)).add("__n_lines", "long").add("__n_dropped", "long")
 
+def _dropped(text_col: str, shards: int, counts: bool):
     def run(_unit, batches, found):
         lines = _Lines(batches, text_col)
         flags = flags_of(Sent(lines.keys), found[0], shards).tolist()
@@ -244,12 +270,12 @@ def apply_index(schema, packed: DataFrame, index: LineIndex, sent: DataFrame, *,
             field = batch.schema.field(place)
             result = batch.set_column(place, field, pa.array(texts, field.type))
             if counts:
-                result = result.append_column("__n_lines", pa.array([len(x) for x in docs], pa.int64())).append_column("__n_dropped", pa.array(n_dropped, pa.int64()))
+                result = result.append_column("n_lines", pa.array([len(x) for x in docs], pa.int64())).append_column("n_dropped", pa.array(n_dropped, pa.int64()))
             yield result
 
-    return with_answers(packed, index.frequent(sent).withColumn("level", F.lit(0)), run, out)
+    return run
 
 
 def digest(result: DataFrame) -> DataFrame:
-    """The contract's columns, from drop_lines(counts=True)."""
-    return result.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    """The contract's columns, from counted()."""
+    return result.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

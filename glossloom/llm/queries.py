@@ -32,8 +32,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.digest(line_dedup.drop_lines(docs, counts=True))
+    return line_dedup.digest(line_dedup.counted(_read(spark, sf_dir, "documents")))
 
 
 #: The list's history: list, kind, value, action, days after 2024-01-01.

@@ -455,10 +455,10 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     wanted = nodes.join(groups, "label").select(unit.alias("unit"), F.lit(0).alias("level"), F.col("node").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)).alias("part"), F.concat_ws(",", "node", "label").cast("binary").alias("flags"))
 
     def sets_of(_unit, batches, found):
-        at = 0
+        at, found = 0, found[0].by_part()
         for rows in batches:
-            own = [i for i in range(rows.num_rows) if at + i in found[0]]
-            names = [tuple(map(int, found[0][at + i].decode().split(","))) for i in own]
+            own = [i for i in range(rows.num_rows) if at + i in found]
+            names = [tuple(map(int, found[at + i].decode().split(","))) for i in own]
             sets = [shingle_set(t, shingle) for t in rows.column(text_col).take(pa.array(own, pa.int64())).to_pylist()]
             at += rows.num_rows
             yield pa.RecordBatch.from_pydict({"node": pa.array([x[0] for x in names], pa.int64()), "label": pa.array([x[1] for x in names], pa.int64()), "n": pa.array([len(x) for x in sets], pa.int64()), "own": pa.array([x.tobytes() for x in sets], pa.binary())})
@@ -470,9 +470,9 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     stay = prints.select("s0", "s1", "doc_id", "unit", "place").join(named, ["s0", "s1"]).groupBy("__node").agg(first).select("first.unit", F.lit(0).alias("level"), F.col("first.place").alias("part"), F.lit(b"").alias("flags"))
 
     def keep(_unit, batches, found):
-        at = 0
+        at, found = 0, found[0].parts
         for rows in batches:
-            yield rows.filter(pa.array([at + i in found[0] for i in range(rows.num_rows)], pa.bool_()))
+            yield rows.filter(pa.array(np.isin(np.arange(at, at + rows.num_rows), found)))
             at += rows.num_rows
 
     return with_answers(packed, stay, keep, docs.schema)

@@ -149,8 +149,7 @@ def removed_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     def second(key, batches, found):
         u = unit(batches)
-        if (m := message_of(key, u.second(flags_of(u.first(), found[0], n)), n)) is not None:
-            yield m
+        yield message_of(key, u.second(flags_of(u.first(), found[0], n)), n)
 
     two = answer(with_answers(packed, one, second, SENT), 1, more_than_once)
     two = checkpointed(one.unionByName(two.select("unit", F.lit(1).alias("level"), "part", "flags")))
@@ -158,8 +157,7 @@ def removed_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     def third(key, batches, found):
         u = unit(batches)
         doubled = u.second(flags_of(u.first(), found[0], n))
-        if (m := message_of(key, u.third(flags_of(doubled, found[1], n)), wide)) is not None:
-            yield m
+        yield message_of(key, u.third(flags_of(doubled, found[1], n)), wide)
 
     three = answer(with_answers(packed, two, third, SENT, 2), 2, more_than_once)
     three = two.unionByName(three.select("unit", F.lit(2).alias("level"), "part", "flags"))

@@ -2,21 +2,29 @@
 
 Operators that ask "does this line or window also occur elsewhere?" would
 shuffle one row for each line or window, and one hot value would meet in one
-task. Here the corpus is cut into units of a few MB, packed and written once to
-the shared folder. A unit sends each distinct hash it holds once, however often
-it occurs there, grouped by hash range; the range's task answers with one bit
-for each hash sent. So a value found in every document costs one entry a unit,
-the same as any other hash, and no group of rows is ever gathered.
+task. Here the corpus is cut into units of a few MB, packed, dealt over
+partitions once and kept in the shared folder so: what later comes back to a
+unit goes to its partition, and the corpus itself is not shuffled again. A unit
+sends each distinct hash it holds once, however often it occurs there, grouped
+by hash range; the range's task answers with one bit for each hash sent. So a
+value found in every document costs one entry a unit, the same as any other
+hash, and no group of rows is ever gathered.
+
+A message is what one unit sends to one range, so there are never more messages
+than distinct hashes in units: as many as units times ranges at first, then one
+for each hash. Both ends handle messages as arrays, without a Python object for
+each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossloom.llm.common import checkpointed
@@ -24,7 +32,9 @@ from glossloom.llm.common import checkpointed
 #: A unit's texts hold about this many bytes; one longer text is a unit by itself.
 UNIT_BYTES = 4 << 20
 #: Hashes that one range holds on average, whatever the size of the corpus.
-RANGE_HASHES = 250_000
+RANGE_HASHES = 1_000_000
+#: Bytes of the input, as its source has them, for each partition of units, and the most partitions there may be.
+PARTITION_BYTES, MOST_PARTITIONS = 32 << 20, 100_000
 
 _OPTIONS = pa.ipc.IpcWriteOptions(compression="zstd")
 
@@ -41,8 +51,28 @@ def unpack(blob: bytes) -> list[pa.RecordBatch]:
     return list(pa.ipc.open_stream(blob))
 
 
+@contextmanager
+def _fixed_partitions(spark: SparkSession):
+    """What is planned inside keeps its partitioning for good: adaptive plans do not say how they are partitioned."""
+    name = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _partitions(docs: DataFrame) -> int:
+    spark = docs.sparkSession
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # where sizes are not known, the planner multiplies or takes the largest number there is
+    known = -(-size // PARTITION_BYTES) if size < 1 << 50 else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(2 * spark.sparkContext.defaultParallelism, min(MOST_PARTITIONS, known))
+
+
 def units(docs: DataFrame) -> DataFrame:
-    """Pack all columns of docs into rows (unit, n_bytes, blob), in the shared folder. Row order within a unit is kept."""
+    """Pack all columns of docs into rows (unit, n_bytes, blob), in the shared folder, partitioned and sorted by unit. Row order within a unit is kept."""
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, seq, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
@@ -64,7 +94,8 @@ def units(docs: DataFrame) -> DataFrame:
         if held:
             yield row()
 
-    return checkpointed(docs.mapInArrow(pack, "unit long, n_bytes long, blob binary"))
+    with _fixed_partitions(docs.sparkSession):
+        return checkpointed(docs.mapInArrow(pack, "unit long, n_bytes long, blob binary").repartition(_partitions(docs), "unit").sortWithinPartitions("unit"))
 
 
 def ranges_for(packed: DataFrame, hashes_per_byte: float) -> int:
@@ -98,6 +129,22 @@ class Sent:
         return part[starts], np.append(starts, len(part))
 
 
+def packed_bytes(values: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary array, one value after the other, and where each begins; the last entry is the end."""
+    values = values.cast(pa.large_binary())
+    if isinstance(values, pa.ChunkedArray):
+        values = values.combine_chunks() if values.num_chunks != 1 else values.chunk(0)
+    if not len(values):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    return np.frombuffer(values.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def binaries(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """A binary array of the bytes between offsets; those of one unit or range, so they are far from 2 GB."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data).view(np.uint8).reshape(-1))])
+
+
 SENT = "unit long, part long, keys binary, counts binary"
 
 
@@ -107,48 +154,54 @@ def send(packed: DataFrame, hashes: Callable[[list[pa.RecordBatch]], Sent], n: i
     def run(batches):
         for batch in batches:
             for unit, blob in zip(batch["unit"].to_pylist(), batch["blob"], strict=True):
-                if message := message_of(unit, hashes(unpack(blob.as_buffer())), n):
-                    yield message
+                yield message_of(unit, hashes(unpack(blob.as_buffer())), n)
 
     return packed.select("unit", "blob").mapInArrow(run, SENT)
 
 
-def message_of(unit: int, sent: Sent, n: int) -> pa.RecordBatch | None:
-    if not len(sent.keys):
-        return None
+def message_of(unit: int, sent: Sent, n: int) -> pa.RecordBatch:
     parts, starts = sent.by_range(n)
-    cut = list(zip(starts[:-1], starts[1:], strict=True))
-    return pa.RecordBatch.from_pydict({"unit": pa.array([unit] * len(parts), pa.int64()), "part": pa.array(parts), "keys": pa.array([sent.keys[a:b].tobytes() for a, b in cut], pa.binary()), "counts": pa.array([sent.count[a:b].astype(np.uint32).tobytes() for a, b in cut], pa.binary())})
+    return pa.RecordBatch.from_pydict({"unit": pa.array(np.full(len(parts), unit), pa.int64()), "part": pa.array(parts, pa.int64()), "keys": binaries(sent.keys, starts * 8 * sent.keys.shape[1]), "counts": binaries(sent.count.astype(np.uint32), starts * 4)})
 
 
-def streamed(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:
+def grouped(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[int, pa.Table]]:
     """Runs of rows with the same key, of input sorted by it."""
     now, held = None, []
     for batch in batches:
-        for row in batch.to_pylist():
-            if held and row[key] != now:
-                yield now, held
+        if not batch.num_rows:
+            continue
+        at = batch[key].to_numpy()
+        cut = np.flatnonzero(np.diff(at, prepend=at[0] - 1))
+        for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(at)], strict=True):
+            if held and at[a] != now:
+                yield now, pa.Table.from_batches(held)
                 held = []
-            now = row[key]
-            held.append(row)
+            now = int(at[a])
+            held.append(batch.slice(a, z - a))
     if held:
-        yield now, held
+        yield now, pa.Table.from_batches(held)
 
 
 ANSWER = "unit long, part long, flags binary"
 
 
+def answer_of(rows: pa.Table, flags: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+    """flags, of which sizes belong to each row in turn, as one bit each; a row's bits begin at a byte of their own."""
+    bytes_ = -(-sizes // 8)
+    ends = np.cumsum(bytes_)
+    bits = np.zeros(8 * int(bytes_.sum()), bool)
+    bits[np.repeat(8 * (ends - bytes_) - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(flags))] = flags
+    return pa.RecordBatch.from_pydict({"unit": rows["unit"].combine_chunks(), "part": rows["part"].combine_chunks(), "flags": binaries(np.packbits(bits), np.append(0, ends))})
+
+
 def answer(sent: DataFrame, width: int, judge: Callable[[int, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """For each range, sum the counts of equal hashes over units; judge(range, keys, totals) says which to flag. One bit goes back for each hash sent."""
 
     def run(batches):
-        for part, rows in streamed(batches, "part"):
-            keys = np.frombuffer(b"".join(r["keys"] for r in rows), np.uint64).reshape(-1, width)
-            counts = np.frombuffer(b"".join(r["counts"] for r in rows), np.uint32)
-            met = Sent(keys, counts)
-            flags = judge(part, met.keys, met.count)[met.of]
-            at = np.cumsum([0] + [len(r["counts"]) // 4 for r in rows])
-            yield pa.RecordBatch.from_pydict({"unit": pa.array([r["unit"] for r in rows], pa.int64()), "part": pa.array([part] * len(rows), pa.int64()), "flags": pa.array([np.packbits(flags[a:b]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())})
+        for part, rows in grouped(batches, "part"):
+            counts, at = packed_bytes(rows["counts"])
+            met = Sent(packed_bytes(rows["keys"])[0].view(np.uint64).reshape(-1, width), counts.view(np.uint32))
+            yield answer_of(rows, judge(part, met.keys, met.count)[met.of], np.diff(at) // 4)
 
     return sent.repartition("part").sortWithinPartitions("part", "unit").mapInArrow(run, ANSWER)
 
@@ -157,30 +210,44 @@ def more_than_once(_part: int, _keys: np.ndarray, totals: np.ndarray) -> np.ndar
     return totals > 1
 
 
-def flags_of(sent: Sent, answers: dict[int, bytes], n: int) -> np.ndarray:
+class Answers:
+    """What came back to a unit for one level: parts in order, and the flags' bytes for each."""
+
+    def __init__(self, rows: pa.Table):
+        self.parts = rows["part"].to_numpy()
+        self.rows = rows["flags"]
+
+    def by_part(self) -> dict[int, bytes]:
+        return dict(zip(self.parts.tolist(), self.rows.to_pylist(), strict=True))
+
+
+def flags_of(sent: Sent, answers: Answers, n: int) -> np.ndarray:
     """The answers' bits in the order of the hashes that Sent was made from."""
-    flags = np.zeros(len(sent.keys), bool)
-    if len(sent.keys):
-        parts, starts = sent.by_range(n)
-        for part, a, b in zip(parts.tolist(), starts[:-1], starts[1:], strict=True):
-            flags[a:b] = np.unpackbits(np.frombuffer(answers[part], np.uint8), count=b - a)
-    return flags[sent.of]
-
-
-def with_answers(packed: DataFrame, answers: DataFrame, run: Callable[[int, list[pa.RecordBatch], list[dict[int, bytes]]], Iterator[pa.RecordBatch]], schema: str, levels: int = 1) -> DataFrame:
-    """Bring answers (with a column level, from 0) back to their units. run(unit, batches, answers by level) gives the result's batches."""
-
-    def each(batches):
-        for unit, rows in streamed(batches, "unit"):
-            found: list[dict[int, bytes]] = [{} for _ in range(levels)]
-            blob = b""
-            for r in rows:
-                if r["level"] < 0:
-                    blob = r["blob"]
-                else:
-                    found[r["level"]][r["part"]] = r["flags"]
-            yield from run(unit, unpack(blob), found)
-
-    own = packed.select("unit", F.lit(-1).alias("level"), F.lit(-1).cast("long").alias("part"), "blob", F.lit(None).cast("binary").alias("flags"))
-    back = answers.select("unit", F.col("level").cast("int"), "part", F.lit(None).cast("binary").alias("blob"), "flags")
-    return own.unionByName(back).repartition("unit").sortWithinPartitions("unit", "level", "part").mapInArrow(each, schema)
+    parts, starts = sent.by_range(n)
+    if not np.array_equal(parts, answers.parts):
+        raise ValueError("answers do not fit what was sent")
+    data, at = packed_bytes(answers.rows)
+    sizes = np.diff(starts)
+    bits = np.unpackbits(data).astype(bool)
+    return bits[np.repeat(8 * at[:-1] - starts[:-1], sizes) + np.arange(len(sent.keys))][sent.of]
+
+
+def with_answers(packed: DataFrame, answers: DataFrame, run: Callable[[int, list[pa.RecordBatch], list[Answers]], Iterable[pa.RecordBatch]], schema, levels: int = 1) -> DataFrame:
+    """Bring answers (with a column level, from 0) back to their units, which stay where they are. run(unit, batches, answers by level) gives the result's batches."""
+    types = pa.schema(_arrow_schema(packed.sparkSession, schema))
+
+    def each(key, unit, back):
+        found = []
+        if unit.num_rows:
+            back = back.sort_by([("level", "ascending"), ("part", "ascending")])
+            at = np.searchsorted(back["level"].to_numpy(), np.arange(levels + 1))
+            own = [Answers(back.slice(a, z - a)) for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            found = [b for b in run(key[0].as_py(), unpack(unit["blob"][0].as_buffer()), own) if b.num_rows]
+        return pa.Table.from_batches(found).select(types.names).cast(types) if found else types.empty_table()
+
+    back = answers.select("unit", F.col("level").cast("int").alias("level"), "part", "flags")
+    return packed.select("unit", "blob").groupBy("unit").cogroup(back.groupBy("unit")).applyInArrow(each, schema)
+
+
+def _arrow_schema(spark: SparkSession, schema) -> pa.Schema:
+    return spark.createDataFrame([], schema).toArrow().schema

@@ -22,7 +22,9 @@ Results: null texts and roles are empty. Rows of one conversation and turn with
 kind `message` are messages of their own, ordered by role and text; so equal
 rows give equal messages. Nulls sort first: a null turn comes before all
 others, a null conversation is one of its own, a null kind is `message`, a null
-sequence number 0. An unknown kind is an error. A `delta`, `edit` or
+sequence number 0. Of events of one sequence number messages come first, then
+regenerations, edits and deltas, each by role and text. An unknown kind is an
+error. A `delta`, `edit` or
 `regenerate` without a message before it in its turn begins one. An empty log
 gives an empty result. Other columns are left out.
 """
@@ -39,6 +41,8 @@ from pyspark.sql import functions as F
 #: Strings that mean something to one chat template or another.
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>", "<|system|>", "<|user|>", "<|assistant|>")
 LOSS_ROLE = "assistant"
+#: Kinds of events, in the order in which those of one sequence number are folded.
+KINDS = ("message", "regenerate", "edit", "delta")
 
 _CONTROL = re.compile("|".join(map(re.escape, CONTROL)))
 _ESCAPED = re.compile(r"\\(.)", re.S)
@@ -90,13 +94,13 @@ def _fold(batches):
         out = []
         columns = (batch[c].to_pylist() for c in ("conv_id", "turn", "kind", "role", "text"))
         for conv, turn, kind, new_role, text in zip(*columns, strict=True):
-            kind, text = kind or "message", text or ""
+            text = text or ""
             if (conv, turn) != now or held is None or kind == "message":
                 if held is not None:
                     out.append(done())
                 nth = nth + 1 if (conv, turn) == now else 0
                 now, role, held = (conv, turn), new_role or "", [text] if kind != "regenerate" else []
-                if kind not in ("message", "delta", "edit", "regenerate"):
+                if kind not in KINDS:
                     raise ValueError(f"unknown kind of event: {kind}")
             elif kind == "delta":
                 held.append(text)
@@ -119,8 +123,9 @@ def _parts(rows: list[tuple]) -> pa.RecordBatch:
 
 def formatted_parts(events: DataFrame) -> DataFrame:
     """Each message rendered: conv_id, turn, nth (of its turn), formatted, loss (ranges under the loss mask). In order of turn and nth they are the conversation."""
-    rows = events.select("conv_id", "turn", F.coalesce("seq", F.lit(0)).alias("seq"), "kind", "role", "text")
-    return rows.repartition("conv_id", "turn").sortWithinPartitions("conv_id", "turn", "seq", "role", "text").mapInArrow(_fold, PARTS)
+    rows = events.select("conv_id", "turn", F.coalesce("seq", F.lit(0)).alias("seq"), F.coalesce("kind", F.lit("message")).alias("kind"), "role", "text")
+    order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    return rows.repartition("conv_id", "turn").sortWithinPartitions("conv_id", "turn", "seq", order, "role", "text").mapInArrow(_fold, PARTS)
 
 
 def _read_back(batches):

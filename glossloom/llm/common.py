@@ -25,11 +25,13 @@ _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where none is set, as in tests, one of our own."""
+    """The folder that driver and executors share. Only a session on one machine, as in tests, may do without the setting and gets one of our own."""
     sc = spark.sparkContext
     if (there := sc.getCheckpointDir()) is not None:
         return there
     if not (to := spark.conf.get("spark.checkpoint.dir", None)):
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         to = "/tmp/checkpoints/glossloom"
     sc.setCheckpointDir(to)
     return sc.getCheckpointDir()

@@ -5,9 +5,11 @@ ASCII character that is neither letter nor digit. A window is `n` consecutive
 words of a benchmark item; an item of fewer words, but not none, is one window.
 A document word inside any occurrence of a window is hit.
 
-The windows are broadcast in blocks of at most WINDOWS_PER_BLOCK, counted
-first; as a rule there is one. With more blocks the documents are scanned once
-for each, and what was found so far is kept in the shared folder. A scan looks
+The windows are broadcast in blocks of about WINDOWS_PER_BLOCK, counted first
+and dealt by hash of window and item, so that a window of very many items is in
+many blocks; as a rule there is one. With more blocks the documents are scanned
+once for each, what was found so far is kept in the shared folder, and a block
+is let go before the next is made. A scan looks
 windows up by hash and compares the words of each one found, so no other text
 is ever hit. Nothing is shuffled.
 
@@ -63,7 +65,7 @@ def _windows(benchmark: DataFrame, id_col: str, text_col: str, n: int) -> DataFr
 class _Matcher:
     """Looks the windows of a block of words up."""
 
-    def __init__(self, windows: dict[bytes, tuple[int, tuple[str, ...]]]):
+    def __init__(self, windows: dict[bytes, tuple[int, list[str]]]):
         by = defaultdict(list)
         for window, (length, items) in windows.items():
             by[length].append((window, items))
@@ -101,28 +103,28 @@ class _Matcher:
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, n: int, limit: int):
-    """The windows in broadcast blocks, each at most about limit of them."""
-    windows = _windows(benchmark, id_col, text_col, n)
+    """The windows in broadcast blocks, each at most about limit of them, one at a time, and whether it is the last."""
+    windows = checkpointed(_windows(benchmark, id_col, text_col, n))
     total = windows.count()
     if total == 0:
-        yield benchmark.sparkSession.sparkContext.broadcast({})
+        yield True, benchmark.sparkSession.sparkContext.broadcast({})
     blocks = -(-total // limit)
     for k in range(blocks):
-        own: dict[bytes, tuple[int, tuple[str, ...]]] = {}
-        part = windows if blocks == 1 else windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k)
+        own: dict[bytes, tuple[int, list[str]]] = {}
+        part = windows if blocks == 1 else windows.where(F.pmod(F.xxhash64("window", "item"), F.lit(blocks)) == k)
         for item, length, window in part.toLocalIterator():
-            own[bytes(window)] = (length, (*own.get(bytes(window), (0, ()))[1], item))
-        yield benchmark.sparkSession.sparkContext.broadcast(own)
+            own.setdefault(bytes(window), (length, []))[1].append(item)
+        yield k + 1 == blocks, benchmark.sparkSession.sparkContext.broadcast(own)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = NGRAM, limit: int = WINDOWS_PER_BLOCK) -> DataFrame:
     """For each row: doc_id, n_words, hits (word ranges array<struct<first, last>>), n_hit, items (sorted as strings)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(None).cast("binary").alias("marks"), F.lit(None).cast("array<string>").alias("items"))
-    blocks = list(_blocks(benchmark, item_col, item_text_col, n, limit))
-    for k, block in enumerate(blocks):
-        rows = rows.mapInArrow(_scan(block), "doc_id long, text string, marks binary, items array<string>, n_words long, n_hit long").drop(*(["n_words", "n_hit"] if k + 1 < len(blocks) else []))
-        if k + 1 < len(blocks):
-            rows = checkpointed(rows)
+    for last, block in _blocks(benchmark, item_col, item_text_col, n, limit):
+        rows = rows.mapInArrow(_scan(block), "doc_id long, text string, marks binary, items array<string>, n_words long, n_hit long")
+        if not last:
+            rows = checkpointed(rows.drop("n_words", "n_hit"))
+            block.destroy()
     return rows.mapInArrow(_ranges, "doc_id long, n_words long, hits array<struct<first: long, last: long>>, n_hit long, items array<string>")
 
 
@@ -162,7 +164,7 @@ def _ranges(batches):
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = NGRAM, spans: bool = False, limit: int = WINDOWS_PER_BLOCK) -> DataFrame:
     """docs, all columns as they are, without the contaminated rows; or, with spans, with the hit words (and what stands between them) cut out of the texts."""
-    for block in _blocks(benchmark, item_col, item_text_col, n, limit):
+    for last, block in _blocks(benchmark, item_col, item_text_col, n, limit):
 
         def run(batches, block=block):
             matcher = _Matcher(block.value)
@@ -180,6 +182,9 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "t
                 yield t.batch.set_column(at, t.batch.schema.field(at), pa.array(texts, t.batch.schema.field(at).type))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if not last:
+            docs = checkpointed(docs)
+            block.destroy()
     return docs
 
 

@@ -61,6 +61,10 @@ def test_chat_events(spark):
     parts = chat_format.formatted_parts(plain(spark, log, "conv_id long, turn long, seq long, kind string, role string, text string"))
     text = "".join(r.formatted for r in sorted(parts.collect(), key=lambda r: (r.turn, r.nth)))
     assert chat_format.parse(text) == [("user", "hey"), ("assistant", "hello"), ("assistant", "good"), ("user", "bye")]
+    tied = [(1, 0, 1, "message", "user", "a"), (1, 0, 2, "edit", None, "x"), (1, 0, 2, "delta", None, "x"), (1, 0, 2, "regenerate", None, None), (1, 0, 2, "delta", None, "w"), (2, 0, 1, "delta", "user", "z"), (2, 0, 1, "message", "user", "y")]
+    for order in (tied, tied[::-1]):
+        parts = chat_format.formatted_parts(plain(spark, order, "conv_id long, turn long, seq long, kind string, role string, text string"))
+        assert [chat_format.parse(r.formatted) for r in parts.orderBy("conv_id").collect()] == [[("user", "xwx")], [("user", "yz")]]
     with pytest.raises(Exception, match="unknown kind"):
         chat_format.formatted_parts(plain(spark, [(1, 0, 1, "odd", "user", "x")], "conv_id long, turn long, seq long, kind string, role string, text string")).count()
 
@@ -125,9 +129,9 @@ def test_gumbel_top_k(spark, k):
 
 def test_url_filters(spark):
     day = lambda n: datetime.date(2024, 1, 1) + datetime.timedelta(n)
-    urls = ["http://A.b.example.com/x/y?q=1", "https://example.com", "http://u:p@b.example.com:80/x/", "nonsense", None, "http://notexample.com/x/y", "http:///", "ftp://b.example.com/x"]
+    urls = ["http://A.b.example.com/x/y?q=1", "https://example.com", "http://u:p@b.example.com:80/x/", "nonsense", None, "http://notexample.com/x/y", "http:///", "ftp://b.example.com/x", "http://[2001:db8::1]:80/x/y", "http://b.example.com" + "/x" * 20_000, "http://b.example.com/x/" + "y" * 100_000]
     captures = [(i, u, day(t)) for t in range(0, 60, 10) for i, u in enumerate(urls)] + [(9, "http://example.com/", None)]
-    changes = [("l", "domain", "Example.com", "add", day(5)), ("l", "domain", "example.com", "add", day(8)), ("l", "domain", "example.com", "remove", day(20)), ("l", "domain", "example.com", "add", day(20)), ("l", "domain", "example.com", "add", day(40)), ("m", "prefix", "b.example.com/x/", "add", day(10)), ("m", "host", "b.example.com", "add", day(30)), ("m", "host", "b.example.com", "remove", day(50)), ("m", "url", "https://example.com", "add", day(0)), (None, "url", "x", "add", day(0)), ("l", "host", None, "add", day(0)), ("l", "host", "a", "remove", day(1))]
+    changes = [("l", "domain", "Example.com", "add", day(5)), ("l", "domain", "example.com", "add", day(8)), ("l", "domain", "example.com", "remove", day(20)), ("l", "domain", "example.com", "add", day(20)), ("l", "domain", "example.com", "add", day(40)), ("m", "prefix", "b.example.com/x/", "add", day(10)), ("m", "host", "b.example.com", "add", day(30)), ("m", "host", "b.example.com", "remove", day(50)), ("m", "url", "https://example.com", "add", day(0)), (None, "url", "x", "add", day(0)), ("l", "host", None, "add", day(0)), ("l", "host", "a", "remove", day(1)), ("m", "host", "[2001:db8::1]", "add", day(12)), ("m", "prefix", "[2001:db8::1]/x/", "add", day(20)), ("m", "prefix", "b.example.com/x/x/x/", "add", day(20)), ("l", "domain", "com", "add", day(50))]
 
     def active(entry, t):
         past = sorted((s, a == "remove") for lst, k, v, a, s in changes if None not in (lst, k, v) and (lst, k, v.lower()) == entry and s <= t)
@@ -139,8 +143,9 @@ def test_url_filters(spark):
         p = urlsplit(u)
         if not p.hostname:
             return set()
-        labels, steps = p.hostname.split("."), p.path.split("/")
-        return {("url", u.lower()), ("host", p.hostname)} | {("domain", ".".join(labels[i:])) for i in range(len(labels))} | {("prefix", (p.hostname + "/".join(steps[:i]) + "/").lower()) for i in range(1, len(steps) + 1)}
+        host = f"[{p.hostname}]" if ":" in p.hostname else p.hostname
+        labels, steps = host.split("."), p.path.split("/")
+        return {("url", u.lower()), ("host", host)} | {("domain", ".".join(labels[i:])) for i in range(len(labels))} | {("prefix", (host + "/".join(steps[:i]) + "/").lower()) for i in range(1, min(len(steps), 6) + 1)}
 
     entries = {(lst, k, v.lower()) for lst, k, v, *_ in changes if None not in (lst, k, v)}
     want = collections.Counter()

@@ -22,8 +22,11 @@ candidates are then merged and ranked.
 
 Results: rows with null ids, with null or zero vectors, with null or non-finite
 components, or of another length than most rows have (of equally many, the
-longer) take no part. Rows that are equal in id and vector are one candidate.
-If there are fewer candidates than k, all are given. Ties go to the smaller id.
+longer) take no part. Each row is a candidate, also where rows are equal: they
+are searched as one and given as often as there are. A query's candidates are
+all rows but those of its id. Each query row gives its own list; so an id that
+comes twice among the queries has two. If there are fewer candidates than k,
+all are given. Ties go to the smaller id.
 Other columns are left out. An empty table gives an empty result.
 """
 
@@ -152,12 +155,17 @@ def _lists(rows: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel(), kind), rows.shape[1]).cast(pa.list_(kind)) if rows.size else pa.array([], pa.list_(kind))
 
 
-_DEALT = "block long, asks int, id long, vector array<double>, bar double"
+# key tells rows of one id apart, copies says how many equal rows there are
+_DEALT = "block long, asks int, id long, key long, copies long, vector array<double>, bar double"
 
 
-def _dealt(block, asks, ids, vectors, bars) -> pa.RecordBatch:
-    n = len(ids)
-    return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(np.full(n, asks), pa.int32()), pa.array(ids, pa.int64()), _lists(vectors, pa.float64()), pa.array(bars, pa.float64())], ["block", "asks", "id", "vector", "bar"])
+def _dealt(block, asks, ids, keys, copies, vectors, bars) -> pa.RecordBatch:
+    numbers = [pa.array(block, pa.int64()), pa.array(np.full(len(ids), asks), pa.int32()), *(pa.array(x, pa.int64()) for x in (ids, keys, copies))]
+    return pa.RecordBatch.from_arrays([*numbers, _lists(vectors, pa.float64()), pa.array(bars, pa.float64())], ["block", "asks", "id", "key", "copies", "vector", "bar"])
+
+
+def _named(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [batch[c].to_numpy() for c in ("id", "key", "copies")]
 
 
 def _index(hashing: Hashing, blocks: Blocks):
@@ -167,11 +175,12 @@ def _index(hashing: Hashing, blocks: Blocks):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, v = batch["id"].to_numpy(), _matrix(batch["vector"])
+            names, v = _named(batch), _matrix(batch["vector"])
+            ids = names[0]
             for t in range(TABLES):
                 at = np.searchsorted(blocks.cells[t], hashing.cells(v, t))
                 spread = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64)
-                yield _dealt(blocks.first[t][at] + spread % blocks.parts[t][at], 0, ids, v, np.zeros(len(ids)))
+                yield _dealt(blocks.first[t][at] + spread % blocks.parts[t][at], 0, *names, v, np.zeros(len(ids)))
 
     return run
 
@@ -181,9 +190,10 @@ def _visits(hashing: Hashing, blocks: Blocks, k: int):
 
     def run(batches):
         for batch in batches:
-            ids = batch["id"].to_numpy()
-            for i in range(0, len(ids), 64):
-                own, v = ids[i : i + 64], _matrix(batch["vector"].slice(i, 64))
+            names = _named(batch)
+            for i in range(0, batch.num_rows, 64):
+                own, key, copies = (x[i : i + 64] for x in names)
+                v = _matrix(batch["vector"].slice(i, 64))
                 for t in range(TABLES):
                     chance = hashing.chances(v, own, t, blocks.cells[t])
                     order = np.argsort(-chance, axis=1, kind="stable")
@@ -196,21 +206,21 @@ def _visits(hashing: Hashing, blocks: Blocks, k: int):
                         visited = np.flatnonzero(chance[q] >= bars[q])
                         parts = blocks.parts[t][visited]
                         to = np.unique(np.repeat(blocks.first[t][visited], parts) + np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
-                        yield _dealt(to, 1, np.repeat(own[q], len(to)), np.repeat(v[q : q + 1], len(to), 0), np.repeat(bars[q], len(to)))
+                        yield _dealt(to, 1, *(np.repeat(x[q], len(to)) for x in (own, key, copies)), np.repeat(v[q : q + 1], len(to), 0), np.repeat(bars[q], len(to)))
 
     return run
 
 
-_FOUND = "query_id long, ids array<long>, scores array<double>"
+_FOUND = "query_id long, query_key long, query_copies long, ids array<long>, keys array<long>, copies array<long>, scores array<double>"
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best, ties to smaller ids, of distinct (id, score)."""
-    order = np.lexsort((ids, -scores))
-    ids, scores = ids[order], scores[order]
+def _best(scores: np.ndarray, ids: np.ndarray, keys: np.ndarray, copies: np.ndarray, k: int) -> list[np.ndarray]:
+    """The k best, ties to smaller ids, each row once."""
+    order = np.lexsort((keys, ids, -scores))
+    ids, keys = ids[order], keys[order]
     fresh = np.ones(len(ids), bool)
-    fresh[1:] = (ids[1:] != ids[:-1]) | (scores[1:] != scores[:-1])
-    return ids[fresh][:k], scores[fresh][:k]
+    fresh[1:] = (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])
+    return [x[fresh][:k] for x in (scores[order], ids, keys, copies[order])]
 
 
 def _search(hashing: Hashing, blocks: Blocks, k: int):
@@ -219,7 +229,7 @@ def _search(hashing: Hashing, blocks: Blocks, k: int):
     firsts = np.concatenate(blocks.first)
 
     def run(batches):
-        block, ids, v, cells, table = None, [], [], None, 0
+        block, names, v, cells, table = None, [], [], None, 0
 
         for batch in batches:
             if not batch.num_rows:
@@ -229,43 +239,53 @@ def _search(hashing: Hashing, blocks: Blocks, k: int):
             for a, z in zip(cut, np.append(cut[1:], len(at)), strict=True):
                 part = batch.slice(a, z - a)
                 if at[a] != block:
-                    block, ids, v, cells = at[a], [], [], None
+                    block, names, v, cells = at[a], [], [], None
                 if not asks[a]:
-                    ids.append(part["id"].to_numpy())
+                    names.append(_named(part))
                     v.append(_matrix(part["vector"]))
                     continue
-                if not ids:
+                if not names:
                     continue
                 if cells is None:
-                    own, rows = np.concatenate(ids), np.concatenate(v)
-                    order = np.argsort(own, kind="stable")
-                    own, rows = own[order], rows[order]
+                    own, keys, copies = (np.concatenate(x) for x in zip(*names, strict=True))
+                    rows = np.concatenate(v)
+                    longest = np.sqrt((rows**2).sum(1).max())
                     # the block's table: that of the last cell that begins at or before it
                     table = int(table_of[np.searchsorted(firsts, block, "right") - 1])
                     cells, of = np.unique(hashing.cells(rows, table), return_inverse=True)
                 out = []
                 for i in range(0, part.num_rows, 128):
-                    q, asked, bars = _matrix(part["vector"].slice(i, 128)), part["id"].slice(i, 128).to_numpy(), part["bar"].slice(i, 128).to_numpy()
+                    q, bars = _matrix(part["vector"].slice(i, 128)), part["bar"].slice(i, 128).to_numpy()
+                    asked, asked_key, asked_copies = _named(part.slice(i, 128))
+                    # more than products added up in another order can differ by
+                    slack = 1e-15 * (rows.shape[1] + 1) * longest * np.sqrt((q**2).sum(1))
                     allowed = hashing.chances(q, asked, table, cells) >= bars[:, None] * (1 - 1e-9)
                     scores = q @ rows.T
                     scores[~allowed[:, of] | (own[None] == asked[:, None])] = -np.inf
                     for j in range(len(asked)):
                         s = scores[j]
                         bar = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf
-                        near = np.flatnonzero((s > -np.inf) & (s >= bar - 1e-9 * (1 + abs(bar)) if bar > -np.inf else s > -np.inf))
+                        near = np.flatnonzero((s > -np.inf) & (s >= bar - slack[j]))
                         if len(near):
                             # exact scores, added up in one order whatever the block's shape
-                            out.append((asked[j], *_best(own[near], (rows[near] * q[j]).sum(1), k)))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1].tolist() for x in out], pa.list_(pa.int64())), pa.array([x[2].tolist() for x in out], pa.list_(pa.float64()))], ["query_id", "ids", "scores"])
+                            out.append(((asked[j], asked_key[j], asked_copies[j]), _best((rows[near] * q[j]).sum(1), own[near], keys[near], copies[near], k)))
+                lists = [pa.array([found[n].tolist() for _, found in out], pa.list_(kind)) for n, kind in ((1, pa.int64()), (2, pa.int64()), (3, pa.int64()), (0, pa.float64()))]
+                yield pa.RecordBatch.from_arrays([*(pa.array([query[n] for query, _ in out], pa.int64()) for n in range(3)), *lists], ["query_id", "query_key", "query_copies", "ids", "keys", "copies", "scores"])
 
     return run
 
 
 def _merge(k: int):
     def run(batches):
-        for query, rows in grouped(batches, "query_id"):
-            ids, scores = _best(rows["ids"].combine_chunks().flatten().to_numpy(zero_copy_only=False), rows["scores"].combine_chunks().flatten().to_numpy(zero_copy_only=False), k)
-            yield pa.RecordBatch.from_arrays([pa.array([query] * len(ids), pa.int64()), pa.array(range(1, len(ids) + 1), pa.int32()), pa.array(ids), pa.array(scores)], ["query_id", "rank", "vec_id", "score"])
+        for query, every in grouped(batches, "query_id"):
+            key = every["query_key"].to_numpy()
+            for one in np.unique(key):
+                rows = every.filter(pa.array(key == one))
+                scores, ids, _, copies = _best(*(rows[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("scores", "ids", "keys", "copies")), k)
+                ids, scores = (np.repeat(x, np.minimum(copies, k))[:k] for x in (ids, scores))
+                result = pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), query)), pa.array(np.arange(1, len(ids) + 1, dtype=np.int32)), pa.array(ids), pa.array(scores)], ["query_id", "rank", "vec_id", "score"])
+                for _ in range(rows["query_copies"][0].as_py()):
+                    yield result
 
     return run
 
@@ -280,7 +300,8 @@ def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec
     if lengths is None:
         return empty
     # once each, or repeats take places among a block's best; combined on the map side, so a common row is light
-    rows = checkpointed(rows.where(F.size("vector") == lengths["dim"]).distinct())
+    rows = rows.where(F.size("vector") == lengths["dim"]).groupBy("id", "vector").agg(F.count("*").alias("copies"))
+    rows = checkpointed(rows.withColumn("key", F.xxhash64("vector")))
     n = rows.count()
     picked = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("id", "vector").collect()
     hashing = Hashing.fit(np.array([r[1] for r in picked]), np.array([r[0] for r in picked], np.int64), lengths["norm"], n, k)
@@ -298,4 +319,4 @@ def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec
     asked = rows.where(is_query)
     dealt = rows.mapInArrow(_index(hashing, blocks), _DEALT).unionByName(asked.mapInArrow(_visits(hashing, blocks, k), _DEALT))
     found = dealt.repartition("block").sortWithinPartitions("block", "asks", "id").mapInArrow(_search(hashing, blocks, k), _FOUND)
-    return found.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(_merge(k), "query_id long, rank int, vec_id long, score double")
+    return found.repartition("query_id").sortWithinPartitions("query_id", "query_key").mapInArrow(_merge(k), "query_id long, rank int, vec_id long, score double")

@@ -318,7 +318,7 @@ def test_neighbours(spark, monkeypatch):
     v[100:400] = v[0]  # one very common vector
     v[400:600] = v[1] + rng.normal(size=(200, 16)) * 0.01
     rows = [(i, x.tolist()) for i, x in enumerate(v)]
-    rows += [(3000, None), (3020, [0.0] * 16), (3040, [None] + [1.0] * 15), (3060, [float("nan")] + [1.0] * 15), (3080, [float("inf")] * 16), (3100, [1.0, 2.0]), (None, [1.0] * 16), (3120, []), (5, v[5].tolist())]
+    rows += [(3000, None), (3020, [0.0] * 16), (3040, [None] + [1.0] * 15), (3060, [float("nan")] + [1.0] * 15), (3080, [float("inf")] * 16), (3100, [1.0, 2.0]), (None, [1.0] * 16), (3120, [])]
     monkeypatch.setattr(ann, "BLOCK_ROWS", 100)
     assert _recall(spark, rows) >= 0.9
 
@@ -332,10 +332,34 @@ def test_few_neighbours(spark):
 
 
 def test_neighbours_of_repeated_rows(spark):
+    """Each row is a candidate and each query row has its list, against brute force."""
+    from pyspark.sql import functions as F
+
     rng = np.random.default_rng(10)
-    rows = [(i, x.tolist()) for i, x in enumerate(rng.normal(size=(30, 16)))]
-    assert _recall(spark, rows * 2) == 1
-    assert _recall(spark, rows + rows[1:2] * 50) == 1
+    base = [(i, x) for i, x in enumerate(rng.integers(-3, 4, (30, 16)).astype(float))]
+    for rows in (base * 2, base + base[1:2] * 50, base + base[:1] + [(0, base[5][1]), (3, base[4][1]), (3, base[7][1])]):
+        want = collections.Counter()
+        for i, q in rows:
+            if i % 20 == 0:
+                best = sorted((-float(q @ v), j) for j, v in rows if j != i)[:20]
+                want.update((i, n + 1, j, -s) for n, (s, j) in enumerate(best))
+        got = ann.nearest(frame(spark, [(i, x.tolist()) for i, x in rows], "vec_id long, embedding array<double>"), F.col("id") % 20 == 0)
+        assert collections.Counter(map(tuple, got.collect())) == want
+
+
+def test_neighbours_in_clusters(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(13)
+    v = (rng.normal(size=(300, 32)) * 3)[rng.integers(0, 300, 12_000)] + rng.normal(size=(12_000, 32)) * 0.4
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in ann.nearest(rows, F.col("id") % 100 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    scores = v[::100] @ v.T
+    scores[np.arange(120), np.arange(0, 12_000, 100)] = -np.inf
+    best = np.argsort(-scores, axis=1)[:, :20]
+    assert np.mean([len(got[100 * q] & set(best[q].tolist())) / 20 for q in range(120)]) >= 0.9
 
 
 def test_neighbours_of_sampled_queries(spark, monkeypatch):

@@ -97,11 +97,62 @@ def test_quality_classifier_held_out(spark):
     kept = {r.doc_id for r in out if r.kept}
     unseen = {i for i, _ in rows} - {x[0] for x in labels}
     assert len(unseen & bad & kept) <= 0.05 * len(unseen & bad)
-    assert len((unseen - bad) - kept) <= 0.01 * len(unseen - bad)
+    assert len((unseen - bad) - kept) <= 0.02 * len(unseen - bad)
     stays = quality_resample.kept(docs, table)
     assert stays.schema == docs.schema and {r.doc_id for r in stays.collect()} == kept
 
 
+@pytest.mark.parametrize("sharpness", [1.0, 16.0])
+def test_quality_by_hand(spark, sharpness):
+    """Weights from exact counts of n-grams, and the k largest keys."""
+    import math
+    import re
+
+    rows, labels, _ = _labelled(200)
+    rows += [(500, None), (501, ""), (502, "same " * 40), (503, "trash, trash! w"), (503, "trash, trash! w")]
+    good = {i for i, q, t in labels if q and not t}
+    every, target, of = collections.Counter(), collections.Counter(), []
+    for i, text in rows:
+        w = re.findall(r"[0-9a-z\x80-\U0010ffff]+|[!-/:-@\[-`{-~]+", (text or "").lower())
+        own = [[("word", x)] + [("pair", x, y) for y in w[k + 1 : k + 2]] + [("begin", x[:4])] * (len(x) > 4) + [("repeat",)] * (len(w) >= k + 8 and set(w[k : k + 8]) == {x}) for k, x in enumerate(w)]
+        of.append(own)
+        met = {g for at in own for g in at}
+        every.update(met)
+        target.update(met if i in good else ())
+    usual = sum(i in good for i, _ in rows) / len(rows)
+
+    def value(g):
+        seen, due = target[g] + 1, every[g] * usual + 1
+        r = math.log(seen / due)
+        return math.copysign(max(0, abs(r) - 2 * math.sqrt(1 / seen + 1 / due)), r)
+
+    def weight(own):
+        sums = [sum(map(value, g)) for g in own]
+        return min([0, *(sum(sums[max(0, k) : k + 8]) for k in range(-4, len(sums), 4))])
+
+    docs, table = plain(spark, rows), plain(spark, labels, "doc_id long, quality int, toxic int")
+    for k in (0, 1, 60, len(rows)):
+        out = quality_resample.resample(docs, table, k=k, sharpness=sharpness).collect()
+        got, want = collections.defaultdict(list), collections.defaultdict(list)
+        for r in out:
+            got[r.doc_id].append((r.n_grams, r.log_weight))
+        for (i, _), own in zip(rows, of, strict=True):
+            want[i].append((sum(map(len, own)), weight(own)))
+        for i, ws in want.items():
+            assert all(a == c and abs(b - d) < 1e-4 for (a, b), (c, d) in zip(sorted(got[i]), sorted(ws), strict=True))
+        keys = sorted((r.gumbel_key for r in out), reverse=True)
+        assert all(r.kept == (k > 0 and r.gumbel_key >= keys[k - 1]) for r in out)
+        assert len({round(r.gumbel_key - sharpness * r.log_weight, 6) for r in out}) >= len(out) - 1
+
+
+def test_quality_draws_in_proportion(spark):
+    """At sharpness 1 the noise is Gumbel's: of two documents the likelier one comes first as often as its weight says."""
+    noise = [r.n for r in spark.range(40_000).select(quality_resample._noise("id", "id").alias("n")).collect()]
+    a, b = np.array(noise[::2]), np.array(noise[1::2])
+    for ratio in (1, 3, 10):
+        assert abs((a + np.log(ratio) > b).mean() - ratio / (1 + ratio)) < 0.015
+
+
 def test_quality_edge_cases(spark):
     rows, labels, _ = _labelled(300)
     odd = [(None, None), (None, "scum"), (1000, ""), (1001, None), (1002, "\n\t"), (1003, "scum " * 50_000), (1000, "")]
@@ -112,6 +163,8 @@ def test_quality_edge_cases(spark):
     none = plain(spark, [], "doc_id long, quality int, toxic int")
     assert all(r.kept for r in quality_resample.resample(frame(spark, rows), none).collect())
     assert quality_resample.resample(frame(spark, []), none).count() == 0
+    clash = frame(spark, rows).withColumnsRenamed({"fp": "log_weight", "part": "gumbel_key", "id": "N_grams_"})
+    assert quality_resample.kept(clash, table).schema == clash.schema
 
 
 @pytest.mark.parametrize("k", [0, 1, 7, 250, 300, 1000])

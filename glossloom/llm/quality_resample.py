@@ -26,7 +26,9 @@ document in by luck. Unless k is given, it is the number of good documents as
 estimated from the labels: their share in the sample, with a cut of the weights
 as control variate. The cut is the one that tells the labels apart best; what
 it finds in all documents, plus the difference of the sample's good share and
-what it finds there, has a far smaller error than the share alone.
+what it finds there, has a far smaller error than the share alone. k is not
+less than what the cut finds: where labels are too few to tell bad documents
+from others, these are kept rather than as many good ones drawn out.
 
 The noise comes from a hash of id and text, so runs and retries agree. The k-th
 key is found by radix selection, 16 bits a pass, over a small table in the
@@ -267,7 +269,7 @@ def good_documents(scored: DataFrame, model: Classifier, id_col: str, weight_col
     cut = int(np.argmax(above + np.cumsum(bad) - bad))
     found = (above[cut] + bad[cut:].sum()) / (good.sum() + bad.sum())
     share = good.sum() / (good.sum() + bad.sum())
-    return int(round(every[cut:].sum() + (share - found) * every.sum()))
+    return int(round(every[cut:].sum() + max(0.0, share - found) * every.sum()))
 
 
 def cutoff(scored: DataFrame, k: int) -> float:

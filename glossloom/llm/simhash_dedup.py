@@ -18,8 +18,13 @@ from alternating star steps; no links or groups are gathered.
 That is `near_duplicates`. `one_of_each` works for texts that share most of
 their shingles, which differ in far more bits than a grid can have groups for.
 It takes 256-bit fingerprints of distinct five-word shingles, links at WIDE_DISTANCE
-bits, and has WIDE_CELLS grids, each of the counts of some ten segments; two
-texts of similarity 0.8 agree in one of them at least with a chance of 0.97.
+bits, and has grids of the counts of some segments each. Two unrelated texts
+agree in a segment with a chance of 3/8, two of similarity 0.8 with 0.73; so a
+grid is made of as many segments as leave CELL_NODES unrelated nodes in a cell,
+and there are as many grids as let two texts of similarity 0.8 meet in one at
+least with a chance of 0.97. That is a number of grids of about N to the power
+of 0.32, and comparisons in proportion to it for each node. A cell of more than
+LARGE_CELL nodes is dealt once more by grids of its own.
 Nodes there are distinct sets of shingles. What hangs together by such links is
 a candidate group only: a link needs a Jaccard similarity of SIMILAR, taken
 exactly on the sets. A group of more than BLOCK_SHINGLES is dealt over pairs of
@@ -36,6 +41,7 @@ id, and of equal ones one. Other columns pass unchanged.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -53,7 +59,9 @@ SEED = 42
 #: From this many fingerprints on, a cell is searched by looking neighbours up.
 LARGE_CELL = 4096
 _RUN = 8
-WIDE_SHINGLE, WIDE_WORDS, WIDE_DISTANCE, WIDE_CELLS, WIDE_SEGMENTS = 5, 4, 52, 80, 10
+WIDE_SHINGLE, WIDE_WORDS, WIDE_DISTANCE = 5, 4, 52
+#: Unrelated nodes that a cell holds on average; chances that two unrelated or two similar texts agree in a segment, and that similar ones meet.
+CELL_NODES, UNRELATED, ALIKE, MEET = 16, 3 / 8, 0.73, 0.97
 #: So many grids are searched before the rest.
 WIDE_FIRST = 12
 #: Sets of fewer shingles are too small for a fingerprint; if two are as similar as 0.8 and one has fewer, they have
@@ -206,8 +214,31 @@ def _cell_links(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(left), np.concatenate(right)
 
 
-def _wide_links(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+def _dealt_links(fp: np.ndarray, distance: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a large cell, by grids of its own."""
+    left, right = [], []
+    low = fp & np.uint64(_HALF)
+    high = fp >> np.uint64(1) & np.uint64(_HALF)
+    counts = (low & high) << np.uint64(1) | low ^ high
+    for mask in _wide_masks(*_grids_for(len(fp)), seed):
+        key = np.zeros(len(fp), np.uint64)
+        for w, m in enumerate(mask):
+            key = mix(key ^ (counts[:, w] & np.uint64(m)))
+        order = np.argsort(key, kind="stable")
+        cut = np.flatnonzero(np.diff(key[order])) + 1
+        for own in np.split(order, cut):
+            if len(own) > 1:
+                # texts that no grid tells apart are near each other, and few pivots settle them
+                i, j = _wide_links(fp[own], distance, seed + 1 if 2 * len(own) < len(fp) else None)
+                left.append(own[i])
+                right.append(own[j])
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
+
+
+def _wide_links(fp: np.ndarray, distance: int, seed: int | None = 1) -> tuple[np.ndarray, np.ndarray]:
     """Links that join all of a cell that pairs within distance join. A first node and all near it are one; each other node is compared with them, and they no more with each other."""
+    if len(fp) > LARGE_CELL and seed is not None:
+        return _dealt_links(fp, distance, seed)
     left, right = [], []
     rest = np.arange(len(fp))
     while len(rest) > 1:
@@ -233,7 +264,7 @@ def _bits_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _links(batches, distance: int, words: int = 1):
     """Links of each cell, of rows sorted by cell; a cell that goes over the end of a batch is carried on."""
-    kept = None
+    kept: list[list[np.ndarray]] = []
     find = _wide_links if words > 1 else lambda fp, d: _cell_links(fp[:, 0], d)
 
     def of(rows):
@@ -263,16 +294,20 @@ def _links(batches, distance: int, words: int = 1):
         cell = np.stack([batch["choice"].to_numpy(zero_copy_only=False).astype(np.int64), batch["cell"].to_numpy()], 1)
         fp = np.stack([batch[f"fp{w}" if w else "fp"].to_numpy().view(np.uint64) for w in range(words)], 1)
         rows = [cell, fp, batch["node"].to_numpy()]
-        if kept is not None:
-            rows = [np.concatenate(x) for x in zip(kept, rows, strict=True)]
-        if not len(rows[1]):
+        if not len(fp):
             continue
-        other = np.flatnonzero((rows[0] != rows[0][-1]).any(1))
+        # the last cell may go on in the next batch; one of many batches is put together once
+        other = np.flatnonzero((cell != cell[-1]).any(1))
         last = int(other[-1]) + 1 if len(other) else 0
-        yield from of([x[:last] for x in rows])
-        kept = [x[last:] for x in rows]
-    if kept is not None:
-        yield from of(kept)
+        if kept and (last or (kept[-1][0][-1] != cell[0]).any()):
+            end = last if (kept[-1][0][-1] == cell[0]).all() else 0
+            yield from of([np.concatenate(x) for x in zip(*kept, [x[:end] for x in rows], strict=True)])
+            kept, rows, last = [], [x[end:] for x in rows], last - end
+        if last:
+            yield from of([x[:last] for x in rows])
+        kept.append([x[last:] for x in rows])
+    if kept:
+        yield from of([np.concatenate(x) for x in zip(*kept, strict=True)])
 
 
 def _counts_of(fp):
@@ -281,10 +316,16 @@ def _counts_of(fp):
     return F.shiftleft(low.bitwiseAND(high), 1).bitwiseOR(low.bitwiseXOR(high))
 
 
-def _wide_masks() -> list[list[int]]:
+def _grids_for(n: int) -> tuple[int, int]:
+    """How many segments a grid is made of, and how many grids there are, for n nodes."""
+    segments = max(4, math.ceil(math.log(max(1, n) / CELL_NODES) / math.log(1 / UNRELATED)))
+    return segments, math.ceil(math.log(1 - MEET) / math.log(1 - ALIKE**segments))
+
+
+def _wide_masks(segments: int, grids: int, seed: int = 0) -> list[list[int]]:
     """For each grid, the bits of each word's embedding that it is made of."""
-    rng = np.random.default_rng(_SEED)
-    picked = [rng.choice(32 * WIDE_WORDS, WIDE_SEGMENTS, replace=False).tolist() for _ in range(WIDE_CELLS)]
+    rng = np.random.default_rng([_SEED, seed])
+    picked = [rng.choice(32 * WIDE_WORDS, segments, replace=False).tolist() for _ in range(grids)]
     return [[sum(3 << 2 * (s % 32) for s in own if s // 32 == w) for w in range(WIDE_WORDS)] for own in picked]
 
 
@@ -315,9 +356,9 @@ def _candidates(prints: DataFrame, distance: int) -> DataFrame:
     keyed = prints.where(F.size("keys") > 0).select("s0", "s1", F.explode("keys").alias("key")).distinct().join(nodes.select("s0", "s1", "node"), ["s0", "s1"]).select("key", "node")
     least = keyed.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
     small = keyed.join(least, "key").where("node > least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    masks = list(enumerate(_wide_masks()))
+    masks = list(enumerate(_wide_masks(*_grids_for(nodes.count()))))
     # a group of copies hangs together after a few grids; the others then only link what is not linked yet
-    for own in (masks[:WIDE_FIRST], masks[WIDE_FIRST:]):
+    for own in filter(None, (masks[:WIDE_FIRST], masks[WIDE_FIRST:])):
         counts = nodes.select(*fp, F.col("label").alias("node"), *(_counts_of(F.col(f)).alias(f"c{w}") for w, f in enumerate(fp)))
         cells = F.explode(F.array(*(F.struct(F.lit(i).alias("choice"), F.xxhash64(*(F.col(f"c{w}").bitwiseAND(F.lit(_long(m))) for w, m in enumerate(mask))).alias("cell")) for i, mask in own)))
         grid = counts.select(*fp, "node", cells.alias("g")).select("g.choice", "g.cell", *fp, "node")

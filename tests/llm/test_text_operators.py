@@ -6,6 +6,7 @@ import itertools
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -202,7 +203,7 @@ def test_large_cells_find_the_same_links(monkeypatch):
     many = simhash_dedup._cell_links(a, 2)
     pairs = lambda x: {tuple(sorted(p)) for p in zip(*map(list, x), strict=True)}
     assert pairs(few) == pairs(many)
-    wide = simhash_dedup._wide_links(a[:, None], 2)
+    wide = simhash_dedup._wide_links(a[:, None], 2, None)
     assert (simhash_dedup._labels(len(a), *few) == simhash_dedup._labels(len(a), *wide)).all()
 
 
@@ -273,6 +274,38 @@ def test_one_of_each_finds_short_near_copies(spark, n, more):
     assert kept == set(_groups_by_hand(texts)) and not {3 * k + 1 for k in range(12)} & kept
 
 
+def test_cells_over_batches():
+    """A cell's rows may be spread over any batches."""
+    rng = np.random.default_rng(6)
+    cell = np.sort(rng.integers(0, 40, 1500))
+    cell[600:1000] = cell[600]
+    fp = rng.integers(0, 1 << 10, 1500).astype(np.int64)
+
+    def links(sizes):
+        at = np.cumsum([0, *sizes])
+        batches = [pa.RecordBatch.from_pydict({"choice": pa.array(np.zeros(b - a, np.int32)), "cell": pa.array(cell[a:b]), "fp": pa.array(fp[a:b]), "node": pa.array(np.arange(a, b))}) for a, b in zip(at[:-1], at[1:], strict=True)]
+        found = [x for b in simhash_dedup._links(batches, 2) for x in zip(b["a"].to_pylist(), b["b"].to_pylist(), strict=True)]
+        a, b = np.array(found).T
+        return simhash_dedup._labels(1500, a, b).tolist()
+
+    whole = links([1500])
+    assert whole == links([1] * 1500) == links([100] * 15) == links([0, 7, 600, 0, 50, 50, 793])
+
+
+def test_large_wide_cells():
+    """Grids within a cell find the near copies that comparing all with all finds."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, (3000, 4)).astype(np.uint64)
+    near = base.copy()
+    for row in near:
+        for bit in rng.choice(256, 38, replace=False):  # what texts of similarity 0.8 differ by
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    i, j = simhash_dedup._wide_links(np.concatenate([base, near]), 52)
+    met = {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+    assert len({(k, k + 3000) for k in range(3000)} & met) > 0.95 * 3000
+    assert not {(a, b) for a, b in met if b - a != 3000}
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 3), (5, 6), (6, 5), (7, 7), (None, 4), *((k, k + 1) for k in range(100, 160)), *((1000, k) for k in range(1001, 1100))]
     got = {r.node: r.component for r in common.components(plain(spark, edges, "a long, b long")).collect()}

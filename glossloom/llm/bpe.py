@@ -41,11 +41,13 @@ from pyspark.sql import functions as F
 from glossloom.llm.common import text_blocks
 
 #: Words one generation of a task's memory holds.
-KNOWN_WORDS = 250_000
+KNOWN_WORDS = 150_000
 #: Words met repeatedly that a worker keeps for its next task.
 COMMON_WORDS = 50_000
 #: Words that go to DuckDB together, and bytes that they have at most together.
 BATCH_WORDS, BATCH_BYTES = 30_000, 400_000
+#: Ids that one group of a decoding query has at most, and all its groups together.
+PIECE, DECODED_IDS = 1 << 16, 1 << 19
 #: Texts that are cut into words together.
 TEXT_BYTES = 2 << 20
 LONG_BYTES = 64
@@ -179,15 +181,21 @@ class Tokenizer:
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """The bytes that ids[offsets[i] : offsets[i + 1]] stand for."""
-        lengths = np.diff(offsets)
-        out = [b""] * len(lengths)
-        if len(ids):
-            table = self._query(_DECODE, np.repeat(np.arange(len(lengths)), lengths), _places(lengths), ids)
+        pieces = -(-np.diff(offsets) // PIECE)  # a very long text is decoded in pieces
+        begins = np.repeat(offsets[:-1], pieces) + PIECE * _places(pieces)
+        ends = np.minimum(begins + PIECE, np.repeat(offsets[1:], pieces))
+        found, at = [b""] * len(begins), 0
+        while at < len(begins):
+            to = max(at + 1, int(np.searchsorted(ends, begins[at] + DECODED_IDS, "right")))
+            lengths = (ends - begins)[at:to]
+            table = self._query(_DECODE, np.repeat(np.arange(to - at), lengths), _places(lengths), ids[begins[at] : ends[to - 1]])
             if not all(table["known"].to_pylist()):
                 raise ValueError("an id is not in the vocabulary")
             for w, decoded in zip(table["w"].to_pylist(), table["decoded"].to_pylist(), strict=True):
-                out[w] = decoded.encode("latin-1")
-        return out
+                found[at + w] = decoded.encode("latin-1")
+            at = to
+        first = np.cumsum([0, *pieces]).tolist()
+        return [found[a] if z == a + 1 else b"".join(found[a:z]) for a, z in zip(first[:-1], first[1:], strict=True)]
 
 
 def _places(lengths: np.ndarray) -> np.ndarray:

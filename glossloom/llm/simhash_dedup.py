@@ -23,7 +23,8 @@ agree in a segment with a chance of 3/8, two of similarity 0.8 with 0.73; so a
 grid is made of as many segments as leave CELL_NODES unrelated nodes in a cell,
 and there are as many grids as let two texts of similarity 0.8 meet in one at
 least with a chance of 0.97. That is a number of grids of about N to the power
-of 0.32, and comparisons in proportion to it for each node. A cell of more than
+of 0.32, and comparisons in proportion to it for each node; to compare some
+hundred nodes costs about as much as to deal a node to one more grid. A cell of more than
 LARGE_CELL nodes is dealt once more by grids of its own.
 Nodes there are distinct sets of shingles. What hangs together by such links is
 a candidate group only: a link needs a Jaccard similarity of SIMILAR, taken
@@ -61,9 +62,7 @@ LARGE_CELL = 4096
 _RUN = 8
 WIDE_SHINGLE, WIDE_WORDS, WIDE_DISTANCE = 5, 4, 52
 #: Unrelated nodes that a cell holds on average; chances that two unrelated or two similar texts agree in a segment, and that similar ones meet.
-CELL_NODES, UNRELATED, ALIKE, MEET = 16, 3 / 8, 0.73, 0.97
-#: So many grids are searched before the rest.
-WIDE_FIRST = 12
+CELL_NODES, UNRELATED, ALIKE, MEET = 512, 3 / 8, 0.73, 0.97
 #: Sets of fewer shingles are too small for a fingerprint; if two are as similar as 0.8 and one has fewer, they have
 #: ten at most, and the shingles that both have are left when one or two are deleted. Below four only equal sets are.
 FEW, LEAST_KEYED, MOST_KEYED = 9, 4, 10
@@ -358,7 +357,8 @@ def _candidates(prints: DataFrame, distance: int) -> DataFrame:
     small = keyed.join(least, "key").where("node > least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     masks = list(enumerate(_wide_masks(*_grids_for(nodes.count()))))
     # a group of copies hangs together after a few grids; the others then only link what is not linked yet
-    for own in filter(None, (masks[:WIDE_FIRST], masks[WIDE_FIRST:])):
+    half = -(-len(masks) // 2)
+    for own in (masks[:half], masks[half:]):
         counts = nodes.select(*fp, F.col("label").alias("node"), *(_counts_of(F.col(f)).alias(f"c{w}") for w, f in enumerate(fp)))
         cells = F.explode(F.array(*(F.struct(F.lit(i).alias("choice"), F.xxhash64(*(F.col(f"c{w}").bitwiseAND(F.lit(_long(m))) for w, m in enumerate(mask))).alias("cell")) for i, mask in own)))
         grid = counts.select(*fp, "node", cells.alias("g")).select("g.choice", "g.cell", *fp, "node")

@@ -242,6 +242,14 @@ def test_bpe_is_tiktoken(tokenizers):
         assert _ids(ours.encode([text])) == [theirs.encode_ordinary(text)]
 
 
+def test_bpe_decodes_long_texts_in_pieces(tokenizers, monkeypatch):
+    texts = ["", "one", "many words " * 50, "", "é日 " * 40, "two of them", ""]
+    for piece, every in ((1, 1), (7, 20), (10, 1000)):
+        monkeypatch.setattr(bpe, "PIECE", piece)
+        monkeypatch.setattr(bpe, "DECODED_IDS", every)
+        assert tokenizers[0].decode(*tokenizers[0].encode(texts)) == [t.encode() for t in texts]
+
+
 def test_bpe_decodes_the_ids(tokenizers):
     ids, offsets = tokenizers[0].encode(["one text", "", "another of them"])
     for i in range(len(ids)):

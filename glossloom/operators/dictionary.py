@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossloom.operators.normal import normal
 from glossloom.profiles import EXPANSION_TOKENS, HEBREW_MARKS
 
 _QUOTES = re.compile(f"[{HEBREW_MARKS}״\"׳'’‘´]")
@@ -32,9 +34,23 @@ def entries(raw: DataFrame, column: str = "value") -> DataFrame:
 
 
 def merged(table: DataFrame) -> DataFrame:
-    """By cleaned key, the distinct options of all entries."""
-    flat = table.select(clean_key_column(F.col("key")).alias("key"), F.explode("options").alias("option"))
-    return flat.groupBy("key").agg(F.array_sort(F.collect_set("option")).alias("options"))
+    """By cleaned key, the distinct options of all entries: in their order, entries in that of their keys. The first that fits is taken, so order counts."""
+    flat = table.select(F.col("key").alias("entry"), F.posexplode("options").alias("at", "option"))
+    flat = flat.select(clean_key_column(F.col("entry")).alias("key"), F.struct("entry", "at").alias("place"), "option")
+    return _in_order(flat)
+
+
+def _in_order(flat: DataFrame) -> DataFrame:
+    """flat: key, place, option. Each option where it comes first."""
+    first = flat.groupBy("key", "option").agg(F.min("place").alias("place"))
+    return first.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "option"))), lambda x: x["option"]).alias("options"))
+
+
+class Abbreviation(NamedTuple):
+    """An abbreviation and the words that it stands for."""
+
+    own: str
+    words: tuple[str, ...]
 
 
 class Expander:
@@ -69,15 +85,15 @@ class Expander:
                 return " ".join(words[i : i + len(letters)])
         return None
 
-    def expand(self, text: str, context: str, limit: int = EXPANSION_TOKENS) -> str:
-        if not text.strip() or not context.strip():
-            return text
+    def _written(self, text: str, context: str, limit: int) -> list[tuple[str, str | None]]:
+        """The tokens of text, some taken together, and what is written for them, if anything."""
+        if not context.strip():
+            return [(token, None) for token in text.split()]
         plain = _MARKS.sub("", context)
         words = [w for w in map(clean_key, _STOPS.sub(" ", plain).split()) if w]
         tokens, out, i = text.split(), [], 0
         while i < len(tokens):
-            taken = 1
-            new = tokens[i]
+            taken, new = 1, None
             for n in range(min(3, len(tokens) - i), 0, -1) if i < limit else ():
                 options = self._lookup(tokens[i : i + n])
                 found = next((o for o in options or () if _MARKS.sub("", o) in plain), None)
@@ -86,20 +102,32 @@ class Expander:
                 if found is not None:
                     new, taken = found, n
                     break
-            out.append(new)
+            out.append((" ".join(tokens[i : i + taken]), new))
             i += taken
-        joined = " ".join(w for w in out if w)
-        return text if joined == " ".join(tokens) else joined
+        return out
+
+    def expand(self, text: str, context: str, limit: int = EXPANSION_TOKENS) -> str:
+        out = self._written(text, context, limit)
+        joined = " ".join(filter(None, (own if new is None else new for own, new in out)))
+        return text if joined == " ".join(text.split()) else joined
+
+    def units(self, text: str, context: str, limit: int = EXPANSION_TOKENS) -> list[str | Abbreviation]:
+        """The normal words of text; an abbreviation that is written out stays one unit."""
+        out: list[str | Abbreviation] = []
+        for own, new in self._written(text, context, limit):
+            if new is None or new == own:
+                out += normal(own).split()
+            else:
+                out.append(Abbreviation(normal(own), tuple(normal(new).split())))
+        return out
 
 
 def with_option(table: DataFrame, key: str, option: str) -> DataFrame:
     """The dictionary with one more option; a key it had not is added, a blank option changes nothing."""
     if not key.strip() or not option.strip():
         return table
-    new = table.sparkSession.createDataFrame([(key.strip(), [option.strip()])], "key string, options array<string>")
-    flat = table.unionByName(new).select("key", F.posexplode("options").alias("at", "option"))
-    first = flat.groupBy("key", "option").agg(F.min("at").alias("at"))
-    return first.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "option"))), lambda x: x["option"]).alias("options"))
+    new = table.sparkSession.createDataFrame([(key.strip(), option.strip())], "key string, option string").select("key", F.lit((1 << 31) - 1).alias("place"), "option")
+    return _in_order(table.select("key", F.posexplode("options").alias("place", "option")).unionByName(new))
 
 
 def without_option(table: DataFrame, key: str, option: str) -> DataFrame:

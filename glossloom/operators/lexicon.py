@@ -21,7 +21,7 @@ def document_frequency(ls: DataFrame, script: Script = HEBREW, keys: tuple[str,
     """keys, word, n_lines that hold it, ratio of all lines (blank ones too)."""
     total = ls.groupBy(*keys).agg(F.count("*").alias("total"))
     held = ls.select(*keys, F.explode(F.array_distinct(idf_words(F.col("raw"), script))).alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("n_lines"))
-    joined = held.join(F.broadcast(total), list(keys)) if keys else held.crossJoin(total)
+    joined = held.join(total, list(keys)) if keys else held.crossJoin(total)
     return joined.select(*keys, "word", "n_lines", (F.col("n_lines") / F.col("total")).alias("ratio"))
 
 

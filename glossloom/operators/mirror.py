@@ -19,9 +19,9 @@ def decoded(table: DataFrame, keys: list[str], column: str = "encoded") -> DataF
     return parts.select(*keys, (F.col("at") + 1).alias("comm_line"), F.sum(_signed(F.col("part"))).over(so_far).alias("src_line"))
 
 
-def encoded(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, encoded, of pairs (keys, comm_line, src_line); of several links of a line the last stays."""
-    one = pairs.groupBy(*keys, "comm_line").agg(F.max("src_line").alias("src_line"))
+def encoded(pairs: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """keys, encoded, of pairs (keys, comm_line, src_line, and the order they come in); of several links of a line the last stays."""
+    one = pairs.groupBy(*keys, "comm_line").agg(F.max_by("src_line", F.struct(order, "src_line")).alias("src_line"))
     by = Window.partitionBy(*keys).orderBy("comm_line")
     step = F.col("src_line") - F.coalesce(F.lag("src_line").over(by), F.lit(0))
     text = F.concat(F.when(step < 0, "-").otherwise(""), F.lower(F.conv(F.abs(step).cast("string"), 10, 36)))

@@ -11,9 +11,10 @@ import math
 from dataclasses import dataclass, field
 
 from glossloom.functions.similarity import Words
-from glossloom.operators.dictionary import Expander
+from glossloom.operators.dictionary import Abbreviation, Expander
 from glossloom.operators.normal import normal
 from glossloom.profiles import (
+    ABBREVIATION_DAMP,
     ANCHOR_MIN_LETTERS,
     CONFIDENCE,
     CONTINUATION_WORDS,
@@ -165,19 +166,32 @@ class Resolver:
     def _sim(self, a: str, b: str) -> float:
         return self.say.similarity(a, b) if self.spec.fuzzy else float(a == b)
 
-    def _run(self, words: list[str], weights: list[float], line: list[str], pinned: bool) -> tuple[float, int, float]:
-        """Best run of words that follow each other in both: score, length, sum of similarities."""
+    def _unit(self, unit: Abbreviation, line: list[str], at: int, idf) -> tuple[float, float]:
+        """Score and similarity of an abbreviation whose words all stand at a place of the line; 0 if they do not."""
+        there = line[at : at + len(unit.words)]
+        sims = [self._sim(a, b) for a, b in zip(unit.words, there, strict=False)]
+        if not unit.words or len(there) < len(unit.words) or min(sims) <= 0:
+            return 0.0, 0.0
+        written = sum(s * w for s, w in zip(sims, self._weights(unit.words, idf), strict=True))
+        return max(self._weights([unit.own], idf)[0], ABBREVIATION_DAMP * written), sum(sims) / len(sims)
+
+    def _run(self, words: list[str | Abbreviation], weights: list[float], line: list[str], pinned: bool, idf=None) -> tuple[float, int, float]:
+        """Best run of words that follow each other in both: score, length, sum of similarities. An abbreviation is one word, but goes over all that it stands for in the line."""
         best = (0.0, 0, 0.0)
         for s in range(min(self.spec.start_words, len(words))):
             for d in range(1 if pinned else len(line)):
-                n, score, sims = 0, 0.0, 0.0
-                while s + n < len(words) and d + n < len(line):
-                    sim = self._sim(words[s + n], line[d + n])
+                n, at, score, sims = 0, d, 0.0, 0.0
+                while s + n < len(words) and at < len(line):
+                    word, step = words[s + n], 1
+                    if isinstance(word, Abbreviation):
+                        gain, sim = self._unit(word, line, at, idf)
+                        step = len(word.words)
+                    else:
+                        sim = self._sim(word, line[at])
+                        gain = sim * weights[s + n]
                     if sim <= 0:
                         break
-                    score += sim * weights[s + n]
-                    sims += sim
-                    n += 1
+                    score, sims, n, at = score + gain, sims + sim, n + 1, at + step
                 if n and score > best[0] and (d < self.spec.shallow or n >= self.spec.deep_run):
                     best = (score, n, sims)
         return best
@@ -278,17 +292,15 @@ class Resolver:
             own = phrase if explicit else row["body"]
             written, there = self.expander.expand(own, norm), self.expander.expand(norm, row["body"])
             if written != own or there != norm:
-                new = written.split() if written != own else full
-                if not explicit and written != own:
-                    new = normal(written).split()
-                new_weights = self._weights(new[:cap], factors)
+                new = self.expander.units(own, norm) if written != own else full
+                new_weights = [0.0 if isinstance(w, Abbreviation) else self._weights([w], factors)[0] for w in new[:cap]]
                 shapes += [(new[:cap], new_weights, there.split()), (full[:cap], weights[:cap], there.split()), (new[:cap], new_weights, words)]
                 texts.append((written if explicit else phrase, there))
         if explicit and any((n.startswith(p) if pinned else self._phrase_in(p, n)) for p, n in texts):
             return 0.0, len(phrase.split()), 0.0, 0.0, True
         best = (0.0, 0, 0.0)
         for a, w, b in shapes:
-            run = self._run(a, w, b, pinned)
+            run = self._run(a, w, b, pinned, factors)
             best = run if run[0] > best[0] else best
         return best[0], best[1], best[2], best[0], False
 

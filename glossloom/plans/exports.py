@@ -64,7 +64,7 @@ def _mirror(spark, d) -> DataFrame:
 @query(f"WITH {_SQL_MIRROR} SELECT conv_id, comm_line, src_line FROM turn_lines")
 def mirror_delta_roundtrip(spark, d) -> DataFrame:
     """Turns and their lengths, encoded as differences and decoded again."""
-    back = M.decoded(M.encoded(_mirror(spark, d), ["conv_id"]), ["conv_id"])
+    back = M.decoded(M.encoded(_mirror(spark, d), ["conv_id"], "src_line"), ["conv_id"])
     return back.select("conv_id", F.col("comm_line").cast("long").alias("comm_line"), F.col("src_line").cast("long").alias("src_line"))
 
 

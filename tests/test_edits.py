@@ -66,6 +66,26 @@ def test_edit_and_cascade(spark):
     assert roles(edits.index(edits.with_marks(lines(spark, *"cc"), spark.createDataFrame([(1, 2)], "id long, line_no int")), own.limit(0)))[2][:2] == ("member", 1)
 
 
+def test_cascade_leaves_nothing_of_the_old_target(spark):
+    schema = "id long, line_index_1 int, line_index_2 int, secondary_target string, is_inherited boolean, dh_text string, confidence int, status string, match_range struct<word_start: int, word_count: int, segments: array<struct<word_start: int, word_count: int>>>, candidates array<struct<line_num: int, score: double, confidence: int>>, candidate_index int"
+    old, many = (0, 1, [(0, 1)]), [(5, 2.0, 90), (8, 1.0, 60)]
+    rows = [(1, 1, 8, None, False, "אמר רבי", 100, "approved", None, None, None), (1, 2, 5, None, True, "שמע ישראל", 90, "approved", old, many, 0), (1, 3, 5, None, True, None, 90, "approved", old, [(5, 1.0, 80)], 0)]
+    rows += [(2, 1, 8, "rashi", False, "אמר", 100, "approved", None, None, None), (2, 2, 8, None, True, "שמע", 70, "pending", old, many, 1)]
+    links = spark.createDataFrame(rows, schema)
+    table = spark.createDataFrame([(i, k, "head" if k == 1 else "member", None if k == 1 else 1) for i in (1, 2) for k in (1, 2, 3)], "id long, line_no int, role string, parent int")
+    lemmas = spark.createDataFrame([(1, 3, "דבר אחר"), (1, 2, "no")], "id long, line_index_1 int, dh_text string")
+    out = edits.cascaded(links, table, spark.createDataFrame([(1, 1), (2, 1)], "id long, line_no int"), lemmas)
+    got = {(r.id, r.line_index_1): r for r in out.collect()}
+    assert got.keys() == {(i, k) for i in (1, 2) for k in (1, 2, 3)}
+    assert all(r.line_index_2 == 8 and r.match_range is None for r in got.values())
+    assert [(r.line_num, r.score) for r in got[1, 2].candidates] == [(5, 2.0), (8, 1.0)] and got[1, 2].candidate_index == 1
+    assert got[1, 3].candidates is None and got[1, 3].candidate_index is None and got[1, 3].dh_text == "דבר אחר" and got[1, 2].dh_text == "שמע ישראל"
+    assert got[2, 2].candidates is None and got[2, 2].secondary_target == "rashi"
+    targets = spark.createDataFrame([(1, None, 8, "כתוב שמע ישראל דבר אחר"), (2, "rashi", 8, "בי שמע")], "id long, secondary_target string, line_no int, raw string")
+    again = {(r.id, r.line_index_1): r.match_range for r in edits.rematched(out, targets).collect()}
+    assert tuple(again[1, 2])[:2] == (1, 2) and tuple(again[1, 3])[:2] == (3, 2) and tuple(again[2, 2])[:2] == (1, 1) and again[1, 1] is None
+
+
 def test_candidates_and_approval(spark):
     schema = "line_index_2 int, confidence int, status string, candidates array<struct<line_num: int, score: double, confidence: int>>, candidate_index int"
     df = spark.createDataFrame([(1, 90, "pending", [(1, 2.0, 90), (7, 1.0, 60)], 0), (7, 60, "pending", [(1, 2.0, 90), (7, 1.0, 60)], 1), (3, 80, "pending", None, None)], schema)

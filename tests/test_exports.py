@@ -11,9 +11,9 @@ def test_mirror_round_trip(spark):
     rng = random.Random(1)
     rows = [(b, s, k, rng.randint(1, 5000)) for b in ("x", "y") for s in ("rashi", "tosafot") for k in sorted(rng.sample(range(1, 300), 80))]
     df = spark.createDataFrame(rows, "book string, series string, comm_line int, src_line long")
-    back = mirror.decoded(mirror.encoded(df, ["book", "series"]), ["book", "series"])
+    back = mirror.decoded(mirror.encoded(df, ["book", "series"], "src_line"), ["book", "series"])
     assert {tuple(r) for r in back.collect()} == set(rows)
-    text = mirror.encoded(spark.createDataFrame([("b", 1, 40), ("b", 4, 3)], "k string, comm_line int, src_line long"), ["k"]).first().encoded
+    text = mirror.encoded(spark.createDataFrame([("b", 1, 40), ("b", 4, 3)], "k string, comm_line int, src_line long"), ["k"], "src_line").first().encoded
     assert text == "14,,,-11"
     odd = mirror.decoded(spark.createDataFrame([("k", ",a,,-1,!,z")], "k string, encoded string"), ["k"])
     assert [(r.comm_line, r.src_line) for r in odd.orderBy("comm_line").collect()] == [(2, 10), (4, 9), (6, 44)]
@@ -143,3 +143,8 @@ def test_analysis_breakdown_of_whole_passages(spark, tmp_path):
     assert {kind for *_, sim, _, kind in want if 0 < sim < 1} == {"ADD"} and any(len(x[2]) > 3 and x[5] == "SUB" for x in want)
     old = {(r.item_id, r.i) for r in registry.QUERIES["analysis_breakdown"](spark, str(tmp_path)).collect()}
     assert old < {x[:2] for x in want}
+
+
+def test_the_last_link_of_a_line_stays(spark):
+    df = spark.createDataFrame([("b", 1, 9, 0), ("b", 1, 4, 1), ("b", 3, 5, 2)], "k string, comm_line int, src_line long, nth int")
+    assert mirror.encoded(df, ["k"], "nth").first().encoded == "4,,1"

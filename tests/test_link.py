@@ -157,7 +157,7 @@ def test_dictionaries(spark):
     raw = spark.createDataFrame([('{"ר\\"א": ["רבי אליעזר", " "], "רא": "רבי אבא", "": ["x"], "ב": [], "ג": " "}',)], "value string")
     table = entries(raw)
     assert {r.key: r.options for r in table.collect()} == {'ר"א': ["רבי אליעזר"], "רא": ["רבי אבא"]}
-    assert {r.key: r.options for r in merged(table).collect()} == {"רא": ["רבי אבא", "רבי אליעזר"]}
+    assert {r.key: r.options for r in merged(table).collect()} == {"רא": ["רבי אליעזר", "רבי אבא"]}
 
 
 @pytest.mark.parametrize("category", ["shas", "halacha"])
@@ -175,3 +175,24 @@ def test_null_ids(spark):
     """Null ids are jobs of their own that nothing matches."""
     df = spark.createDataFrame([(None, "commentary", COMMENTARY), (None, "source", SOURCE)], "id long, role string, text string")
     assert K.links(K.link(df, K.Config(title="x"))).where(F.col("id").isNotNull()).count() == 0
+
+
+def test_an_abbreviation_is_one_unit_of_a_run():
+    from types import SimpleNamespace
+
+    from glossloom.functions.similarity import Words
+    from glossloom.operators.dictionary import Abbreviation
+    from glossloom.operators.resolve import Resolver
+
+    e = Expander({'ר"א': ["רבי אליעזר"], "קמשמע לן": ["קא משמע לן"]})
+    assert e.units('אמר ר"א שם', "דברי רבי אליעזר") == ["אמר", Abbreviation('ר"א', ("רבי", "אליעזר")), "שם"]
+    assert e.units('אמר ר"א שם', "דברי אחרים") == ["אמר", 'ר"א', "שם"] and e.units("", "x") == []
+    one = Resolver.__new__(Resolver)
+    one.say, one.weighted, one.spec = Words(), False, SimpleNamespace(start_words=2, fuzzy=False, shallow=9, deep_run=3)
+    units = ["אמר", Abbreviation('ר"א', ("רבי", "אליעזר")), "שם"]
+    line = "כך אמר רבי אליעזר שם".split()
+    assert one._run(units, [1.0, 0.0, 1.0], line, False) == (1 + 0.6 * 2 + 1, 3, 3.0)
+    long = Abbreviation("א", ("רבי",))  # never less than the abbreviation's own weight
+    assert one._run(["אמר", long], [1.0, 0.0], line, False) == (2.0, 2, 2.0)
+    assert one._run(units, [1.0, 0.0, 1.0], "אמר רבי שם".split(), False) == (1.0, 1, 1.0)
+    assert one._run(units, [1.0, 0.0, 1.0], "אמר רבי".split(), False) == (1.0, 1, 1.0)

@@ -26,6 +26,7 @@ def test_dictionary_edits(spark):
     as_dict = lambda df: {r.key: r.options for r in df.collect()}
     assert as_dict(dictionary.with_option(table, "a", "x")) == {"a": ["x", "y"], "b": ["z"]}
     assert as_dict(dictionary.with_option(table, "c", " w "))["c"] == ["w"]
+    assert as_dict(dictionary.with_option(table, "a", "b")) == {"a": ["x", "y", "b"], "b": ["z"]}
     assert dictionary.with_option(table, "c", " ") is table
     assert as_dict(dictionary.without_option(table, "b", "z")) == {"a": ["x", "y"]}
     assert as_dict(dictionary.without_key(table, "a")) == {"b": ["z"]}

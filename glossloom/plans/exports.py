@@ -71,23 +71,15 @@ def mirror_delta_roundtrip(spark, d) -> DataFrame:
 _WORDS_2 = f"(SELECT item_id, {V.sql_words('text')} AS w FROM benchmark)"
 
 
-@query(f"""WITH f AS (SELECT item_id, w[1:12] AS lemma, w[7:18] AS line FROM {_WORDS_2} WHERE len(w) >= 7),
-x AS (SELECT item_id, unnest(lemma) AS word, unnest(range(len(lemma))) AS i, line FROM f)
-SELECT item_id, i, word, list_contains(line, word)::INT::DOUBLE AS sim, round(list_contains(line, word)::INT * {Q._BASE}, 6) AS gain, CASE WHEN list_contains(line, word) THEN 'ADD' ELSE 'SUB' END AS kind FROM x
-WHERE list_contains(line, word) OR length(word) <= 3""")
+@query(f"""WITH f AS (SELECT item_id, w, w[7:len(w)] AS line FROM {_WORDS_2}), x AS (SELECT item_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM f), y AS (SELECT item_id, unnest(line) AS word FROM f),
+m AS (SELECT DISTINCT word FROM x), v AS (SELECT word, {Q._STEM.format('word')} AS stem FROM m), k AS (SELECT *, {Q._SKELETON.format('stem')} AS skel FROM v),
+p AS (SELECT DISTINCT x.word AS a, y.word AS b FROM x JOIN y USING (item_id)),
+z AS (SELECT a, b, {Q.sql_similarity('a', 'b', 'k.stem', 'l.stem', 'k.skel', 'l.skel')} AS sim FROM p JOIN k ON k.word = a JOIN k l ON l.word = b),
+best AS (SELECT item_id, i, x.word, coalesce(max(sim), 0) AS sim FROM x LEFT JOIN (SELECT DISTINCT item_id, word FROM y) o USING (item_id) LEFT JOIN z ON a = x.word AND b = o.word GROUP BY ALL)
+SELECT item_id, i, word, round(sim, 6) AS sim, round(sim * {Q._BASE}, 6) AS gain, CASE WHEN sim >= 0.75 THEN 'ADD' ELSE 'SUB' END AS kind FROM best""".replace("LEFT JOIN (SELECT DISTINCT item_id, word FROM y) o USING (item_id)", "LEFT JOIN (SELECT DISTINCT item_id, word FROM y) o ON o.item_id = x.item_id").replace("best AS (SELECT item_id,", "best AS (SELECT x.item_id,"))
 def analysis_breakdown(spark, d) -> DataFrame:
-    """A passage's first twelve words against its seventh to eighteenth: those that match exactly, and those too short to match otherwise."""
-    rows = V.read(spark, d, "benchmark").select("item_id", V.words("text").alias("w")).where(F.size("w") >= 7)
-    each = rows.select("item_id", F.slice("w", 7, 12).alias("line"), F.posexplode(E.breakdown(F.slice("w", 1, 12), F.slice("w", 7, 12), lambda w: S.word_weight(w, LATIN), LATIN)).alias("i", "b"))
-    kept = each.where(F.array_contains("line", F.col("b.word")) | (F.length("b.word") <= 3))
-    sim = F.when(F.col("b.sim") == 1, 1.0).otherwise(0.0)
-    return kept.select("item_id", F.col("i").cast("long").alias("i"), "b.word", sim.alias("sim"), F.round(F.when(sim == 1, F.col("b.gain")).otherwise(0.0), 6).alias("gain"), F.when(sim == 1, "ADD").otherwise("SUB").alias("kind"))
-
-
-@query(None)
-def analysis_breakdown_whole(spark, d) -> DataFrame:
-    """Each word of a whole passage against its words from the seventh on, with what fuzzy matches give; analysis_breakdown has, as its SQL, only exact matches and short words."""
-    rows = V.read(spark, d, "benchmark").select("item_id", V.words("text").alias("w"))
+    """Each word of a whole passage against its words from the seventh on, with what fuzzy matches give."""
+    rows = V.read_texts(spark, d, "benchmark").select("item_id", V.words("text").alias("w"))
     each = rows.select("item_id", F.posexplode(E.breakdown(F.col("w"), F.slice("w", 7, F.greatest(F.size("w"), F.lit(1))), lambda w: S.word_weight(w, LATIN), LATIN)).alias("i", "b"))
     return each.select("item_id", F.col("i").cast("long").alias("i"), "b.word", F.round("b.sim", 6).alias("sim"), F.round("b.gain", 6).alias("gain"), "b.kind")
 

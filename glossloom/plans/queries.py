@@ -176,20 +176,18 @@ def spelling_skeleton(spark, d) -> DataFrame:
     return _vocabulary(spark, d).select("word", S.skeleton(F.col("word"), LATIN).alias("skeleton"))
 
 
+def sql_similarity(a: str, b: str, s: str, t: str, x: str, y: str) -> str:
+    """Similarity of the words a and b with stems s and t and skeletons x and y, all columns."""
+    lo, hi, away = f"least(length({s}), length({t}))", f"greatest(length({s}), length({t}))", f"levenshtein({s}, {t})"
+    near = f"CASE WHEN {away} <= CASE WHEN {lo} >= 7 THEN 2 ELSE 1 END AND 1 - {away} / {hi} >= 0.75 THEN 1 - {away} / {hi} ELSE 0 END"
+    return f"(CASE WHEN {a} = {b} THEN 1 WHEN {s} = {t} AND ({s} <> {a} OR {t} <> {b}) THEN 0.92 WHEN {hi} - {lo} > 2 THEN 0 WHEN {s} <> {t} AND length({x}) >= 2 AND {x} = {y} THEN 0.9 WHEN {lo} <= 3 THEN 0 ELSE {near} END)::DOUBLE"
+
+
 @query(f"""WITH {_VOCABULARY}, v AS (SELECT word, {_STEM.format('word')} AS stem FROM vocabulary), s AS (SELECT *, {_SKELETON.format('stem')} AS skel FROM v),
-p AS (SELECT a.word AS a, b.word AS b, a.stem AS s, b.stem AS t, a.skel AS x, b.skel AS y, least(length(a.stem), length(b.stem)) AS lo, greatest(length(a.stem), length(b.stem)) AS hi, levenshtein(a.stem, b.stem) AS away FROM s a JOIN s b ON a.stem[1:3] = b.stem[1:3] AND a.word < b.word),
-z AS (SELECT a, b, CASE WHEN s = t AND (s <> a OR t <> b) THEN 0.92 WHEN hi - lo > 2 THEN 0 WHEN s <> t AND length(x) >= 2 AND x = y THEN 0.9 WHEN lo <= 3 THEN 0 WHEN away <= CASE WHEN lo >= 7 THEN 2 ELSE 1 END AND 1 - away / hi >= 0.75 THEN 1 - away / hi ELSE 0 END::DOUBLE AS sim FROM p)
+z AS (SELECT a.word AS a, b.word AS b, {sql_similarity('a.word', 'b.word', 'a.stem', 'b.stem', 'a.skel', 'b.skel')} AS sim FROM s a JOIN s b ON a.word < b.word)
 SELECT a, b, round(sim, 6) AS sim FROM z WHERE sim > 0""")
 def similarity_pairs(spark, d) -> DataFrame:
-    """Similar words among those whose stems begin alike."""
-    v = _vocabulary(spark, d).withColumn("top", F.substring(S.stem(F.col("word"), LATIN), 1, 3))
-    pairs = v.select("top", F.col("word").alias("a")).join(v.select("top", F.col("word").alias("b")), "top").where("a < b")
-    return pairs.select("a", "b", F.round(S.similarity(F.col("a"), F.col("b"), LATIN), 6).alias("sim")).where("sim > 0")
-
-
-@query(None)
-def similarity_pairs_all(spark, d) -> DataFrame:
-    """All similar words; similarity_pairs has, as its SQL, only those whose stems begin alike."""
+    """All similar words; SQL compares each with each."""
     return S.similar_pairs(_vocabulary(spark, d), LATIN).select("a", "b", F.round("sim", 6).alias("sim"))
 
 

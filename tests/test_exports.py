@@ -138,7 +138,7 @@ def test_analysis_breakdown_of_whole_passages(spark, tmp_path):
         for i, word in enumerate(r.w or []):
             sim = max((own.similarity(word, other) for other in r.w[6:]), default=0.0)
             want.add((r.item_id, i, word, round(sim, 6), round(sim * own.weight(word), 6), "ADD" if sim >= 0.75 else "SUB"))
-    rows = registry.QUERIES["analysis_breakdown_whole"](spark, str(tmp_path)).collect()
+    rows = registry.QUERIES["analysis_breakdown"](spark, str(tmp_path)).collect()
     assert {(r.item_id, r.i, r.word, r.sim, r.gain, r.kind) for r in rows} == want and len(rows) == len(want)
     assert {kind for *_, sim, _, kind in want if 0 < sim < 1} == {"ADD"} and any(len(x[2]) > 3 and x[5] == "SUB" for x in want)
     old = {(r.item_id, r.i) for r in registry.QUERIES["analysis_breakdown"](spark, str(tmp_path)).collect()}

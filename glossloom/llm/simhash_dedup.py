@@ -6,8 +6,10 @@ fingerprints, so fingerprints within `distance` bits are within `distance`
 there. The segments are dealt to distance + 4 groups; as each unit of Manhattan
 distance touches one group, two embeddings in range agree in at least four
 groups. So the grid has a cell for each choice of four groups and each value
-they take; in a cell only pairs in range by their total bit counts, a coarser
-bound still, are compared, and the Hamming distance of each is taken exactly.
+they take; in a cell pairs are compared by their Manhattan distance, if their
+total bit counts, a coarser bound still, allow it, and of those in range the
+Hamming distance is taken exactly. Counts written as 0, 1 and 11 make the
+Manhattan distance the number of bits that differ.
 
 Equal fingerprints are one node before the grid is made, so copies cost no
 pairs. A cell gives at most one link a node: to the smallest node it reaches in
@@ -201,13 +203,14 @@ def _cell_links(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
         return np.concatenate(left), np.concatenate(right)
     ones = np.bitwise_count(fp).astype(np.int64)
     order = np.argsort(ones, kind="stable")
-    at, ones = fp[order], ones[order]
+    at, ones, embedded = fp[order], ones[order], _embedded(fp[order])
     end = np.searchsorted(ones, ones + distance, "right")
     left, right = [], []
     for i in range(0, len(at), 256):
         j = slice(i, end[min(i + 255, len(at) - 1)])
-        near = np.argwhere(np.bitwise_count(at[i : i + 256, None] ^ at[None, j]) <= distance) + i
+        near = np.argwhere(np.bitwise_count(embedded[i : i + 256, None] ^ embedded[None, j]) <= distance) + i
         near = near[near[:, 0] < near[:, 1]]
+        near = near[np.bitwise_count(at[near[:, 0]] ^ at[near[:, 1]]) <= distance]
         left.append(order[near[:, 0]])
         right.append(order[near[:, 1]])
     return np.concatenate(left), np.concatenate(right)
@@ -257,6 +260,12 @@ def _wide_links(fp: np.ndarray, distance: int, seed: int | None = 1) -> tuple[np
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
 
 
+def _embedded(fp: np.ndarray) -> np.ndarray:
+    """The bit counts of two-bit segments as 0, 1 and 11, so that Manhattan distances are numbers of differing bits."""
+    low, high = fp & np.uint64(_HALF), fp >> np.uint64(1) & np.uint64(_HALF)
+    return low | high | (low & high) << np.uint64(1)
+
+
 def _bits_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
 
@@ -273,9 +282,10 @@ def _links(batches, distance: int, words: int = 1):
         begins = np.append(np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]).any(1)])), len(fp))
         run = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
         size = np.diff(begins)[run]
-        a, b = [], []
+        a, b, embedded = [], [], _embedded(fp)
         for k in range(1, _RUN):
             i = np.flatnonzero((run[:-k] == run[k:]) & (size[:-k] <= _RUN)) if len(run) > k else np.zeros(0, np.int64)
+            i = i[_bits_apart(embedded[i], embedded[i + k]) <= distance]
             i = i[_bits_apart(fp[i], fp[i + k]) <= distance]
             a.append(node[i])
             b.append(node[i + k])

@@ -274,6 +274,15 @@ def test_one_of_each_finds_short_near_copies(spark, n, more):
     assert kept == set(_groups_by_hand(texts)) and not {3 * k + 1 for k in range(12)} & kept
 
 
+def test_manhattan_distance_of_embeddings():
+    rng = np.random.default_rng(7)
+    a, b = rng.integers(0, 1 << 63, (2, 500)).astype(np.uint64)
+    counts = lambda x: np.stack([(x >> np.uint64(2 * s) & np.uint64(1)) + (x >> np.uint64(2 * s + 1) & np.uint64(1)) for s in range(32)], 1).astype(int)
+    manhattan = np.abs(counts(a) - counts(b)).sum(1)
+    assert (np.bitwise_count(simhash_dedup._embedded(a) ^ simhash_dedup._embedded(b)) == manhattan).all()
+    assert (manhattan <= np.bitwise_count(a ^ b)).all()
+
+
 def test_cells_over_batches():
     """A cell's rows may be spread over any batches."""
     rng = np.random.default_rng(6)

@@ -7,8 +7,8 @@ contracts it, and so on until no word has a pair left; ordered aggregation
 gives the ids. Decoding knows the ids only: position rows of whole texts join
 the vocabulary, and ordered aggregation puts their bytes together.
 
-A word's ids depend on the word alone, so a task keeps those it met last, in
-two generations of bounded size. Words over LONG_BYTES take a variant of the
+A word's ids depend on the word alone, so a task keeps those it met; when they
+are too many, only those of the texts at hand. Words over LONG_BYTES take a variant of the
 recursion that keeps only the last state of each position and contracts all of
 a word's pairs of least rank at once, wherever that equals doing it one by one;
 else it takes the leftmost. Why that is equal: contracted from left to right, a
@@ -40,29 +40,30 @@ from pyspark.sql import functions as F
 
 from glossloom.llm.common import text_blocks
 
-#: Words one generation of a task's memory holds.
-KNOWN_WORDS = 150_000
+#: Words that a task's memory holds before it lets others than the latest go.
+KNOWN_WORDS = 300_000
 #: Words met repeatedly that a worker keeps for its next task.
 COMMON_WORDS = 50_000
 #: Words that go to DuckDB together, and bytes that they have at most together.
-BATCH_WORDS, BATCH_BYTES = 30_000, 400_000
+BATCH_WORDS, BATCH_BYTES = 50_000, 600_000
 #: Ids that one group of a decoding query has at most, and all its groups together.
 PIECE, DECODED_IDS = 1 << 16, 1 << 19
 #: Texts that are cut into words together.
-TEXT_BYTES = 2 << 20
+TEXT_BYTES = 4 << 20
 LONG_BYTES = 64
 
-# a word and a position in it are one number, 128 * word + position, which sorts fastest
+# a word and a position in it are one number, 128 * word + position, which sorts fastest; so are both tokens of a pair
 _STEP = """
 WITH RECURSIVE t(step, k, tok) AS (
-  SELECT 0, w::BIGINT * 128 + pos, tok FROM given
+  SELECT 0, (w * 128 + pos)::INT, tok FROM given
   UNION ALL (
     WITH pairs AS (SELECT step, k, tok, lead(tok) OVER row AS next_tok, lead(k) OVER row AS next_k, lag(k) OVER row AS before FROM t WINDOW row AS (ORDER BY k)),
-    best AS (SELECT k // 128 AS w, min(merged::BIGINT * 128 + k % 128) AS b FROM pairs JOIN merges ON tok = l AND next_tok = r WHERE k // 128 = next_k // 128 GROUP BY k // 128)
-    SELECT step + 1, k, CASE WHEN k % 128 = b % 128 THEN (b // 128)::INT ELSE tok END FROM pairs JOIN best ON k // 128 = w WHERE before IS DISTINCT FROM w * 128 + b % 128
+    best AS (SELECT k >> 7 AS w, min(merged * 128 + (k & 127)) AS b FROM pairs JOIN merges ON (tok::BIGINT << 32 | next_tok) = lr WHERE (k >> 7) = (next_k >> 7) GROUP BY k >> 7),
+    hit AS (SELECT w, w * 128 + (b & 127) AS place, b >> 7 AS merged FROM best)
+    SELECT step + 1, k, CASE WHEN k = place THEN merged ELSE tok END FROM pairs JOIN hit ON (k >> 7) = w WHERE before IS DISTINCT FROM place
   )
 )
-SELECT (k // 128)::INT AS w, (k % 128)::INT AS pos, tok FROM t JOIN (SELECT k // 128 AS w, max(step) AS last FROM t GROUP BY 1) ended ON ended.w = k // 128 AND step = last
+SELECT k >> 7 AS w, k & 127 AS pos, tok FROM t JOIN (SELECT k >> 7 AS w, max(step) AS last FROM t GROUP BY 1) ended ON ended.w = (k >> 7) AND step = last
 """
 
 # tok is -1 where a position was contracted away. `pick` holds the pairs of least rank to contract, every second
@@ -99,16 +100,17 @@ class Tokenizer:
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.split = regex.compile(pattern).findall
-        # a word that is a token is not contracted, as the tiktoken library does it
-        self.whole = {t: np.int32(rank).tobytes() for t, rank in ranks.items()}
+        # a word that is a token is not contracted, as the tiktoken library does it; the last place stands for none
+        texts = {text: rank for t, rank in ranks.items() if (text := t.decode(errors="ignore")).encode() == t}
+        self.whole = pa.array(texts, pa.large_string())
+        self.whole_ids = np.array([*(np.int32(rank).tobytes() for rank in texts.values()), None], object)
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         merges = [(ranks[t[:i]], ranks[t[i:]], rank) for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        self.merges = pa.table([pa.array(c, pa.int32()) for c in zip(*merges, strict=True)], ["l", "r", "merged"])
+        self.merges = pa.table([*(pa.array(c, pa.int32()) for c in zip(*merges, strict=True)), pa.array([x << 32 | y for x, y, _ in merges], pa.int64())], ["l", "r", "merged", "lr"])
         self.vocabulary = pa.table({"tok": pa.array(ranks.values(), pa.int32()), "bytes": pa.array([t.decode("latin-1") for t in ranks])})
         self.db: duckdb.DuckDBPyConnection | None = None
         # words to their ids, as the bytes of 32-bit numbers
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
         self.common: set[str] = set()
 
     def _query(self, sql: str, w: np.ndarray, pos: np.ndarray, tok: np.ndarray) -> pa.Table:
@@ -124,48 +126,48 @@ class Tokenizer:
         finally:
             self.db.unregister("given")
 
-    def encode_words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of distinct words."""
-        found, rest = {}, []
-        for word in words:
-            raw = word.encode()
-            if (own := self.whole.get(raw)) is not None:
-                found[word] = own
-            else:
-                rest.append((len(raw), word, raw))
-        rest.sort(key=lambda x: x[0])
-        at = 0
-        while at < len(rest):
-            to, size, long = at, 0, rest[at][0] > LONG_BYTES
-            while to < len(rest) and to - at < BATCH_WORDS and (to == at or size + rest[to][0] <= BATCH_BYTES) and (rest[to][0] > LONG_BYTES) == long:
-                size += rest[to][0]
-                to += 1
-            own = rest[at:to]
-            lengths = np.array([n for n, _, _ in own])
-            data = np.frombuffer(b"".join(raw for _, _, raw in own), np.uint8)
-            table = self._query(_IDS.format(_LONG if long else _STEP), np.repeat(np.arange(len(own)), lengths), _places(lengths), self.of_byte[data]).combine_chunks()
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each of distinct words."""
+        every = pa.array(words, pa.large_string())
+        at = pc.fill_null(pc.index_in(every, value_set=self.whole), -1).to_numpy()
+        found = self.whole_ids[at]
+        rest = np.flatnonzero(at < 0)
+        sizes = pc.binary_length(every).to_numpy()[rest]
+        order = np.argsort(sizes, kind="stable")
+        rest, sizes = rest[order], sizes[order]
+        n_short, ends, first = int(np.searchsorted(sizes, LONG_BYTES, "right")), np.cumsum(sizes), 0
+        while first < len(rest):
+            long = first >= n_short
+            to = int(np.searchsorted(ends, ends[first] - sizes[first] + BATCH_BYTES, "right"))
+            to = min(max(to, first + 1), first + BATCH_WORDS, len(rest) if long else n_short)
+            lengths = sizes[first:to]
+            texts = every.take(pa.array(rest[first:to]))
+            data = np.frombuffer(texts.buffers()[2], np.uint8)[: lengths.sum()]
+            table = self._query(_IDS.format(_LONG if long else _STEP), np.repeat(np.arange(to - first), lengths), _places(lengths), self.of_byte[data])
             ids = table["ids"].combine_chunks()
             offsets, raw = ids.offsets.to_numpy() * 4, ids.values.to_numpy().tobytes()
-            for w, a, z in zip(table["w"].to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                found[own[w][1]] = raw[a:z]
-            at = to
-        return found
+            found[rest[first + table["w"].to_numpy()]] = [raw[a:z] for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            first = to
+        return found.tolist()
 
     def encode(self, texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and where those of each begin; the last entry is the end."""
         cut = [self.split(t) for t in texts]
-        need = set().union(*cut) if cut else set()
-        here = {w: ids for w in need if (ids := self.young.get(w) or self.old.get(w)) is not None}
-        if len(self.common) < COMMON_WORDS:
-            self.common.update(here)
-        here |= self.encode_words([w for w in need if w not in here])
-        if len(self.young) > KNOWN_WORDS:
-            self.old, self.young = self.young, {}
-        self.young.update((w, ids) for w, ids in here.items() if len(w) <= LONG_BYTES)
-        sizes = np.fromiter((len(x) for x in here.values()), np.int64, len(here)) // 4
-        every, first = np.frombuffer(b"".join(here.values()), np.int32), np.cumsum(sizes) - sizes
-        number = dict(zip(here, range(len(here)), strict=True))
-        words = np.fromiter(map(number.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
+        words = pa.array(chain.from_iterable(cut), pa.large_string(), size=sum(map(len, cut))).dictionary_encode()
+        distinct, words = words.dictionary.to_pylist(), words.indices.to_numpy()
+        have = list(map(self.known.get, distinct))
+        new = [w for w, ids in zip(distinct, have, strict=True) if ids is None]
+        if len(self.common) < COMMON_WORDS and len(new) < len(have):
+            self.common.update(w for w, ids in zip(distinct, have, strict=True) if ids is not None)
+        ids_of_new = self.encode_words(new)
+        fresh = iter(ids_of_new)
+        here = [next(fresh) if ids is None else ids for ids in have]
+        if len(self.known) + len(new) > KNOWN_WORDS:
+            self.known = {w: ids for w, ids in zip(distinct, here, strict=True) if len(w) <= LONG_BYTES}
+        else:
+            self.known.update((w, ids) for w, ids in zip(new, ids_of_new, strict=True) if len(w) <= LONG_BYTES)
+        sizes = np.fromiter(map(len, here), np.int64, len(here)) // 4
+        every, first = np.frombuffer(b"".join(here), np.int32), np.cumsum(sizes) - sizes
         own = sizes[words]
         ends = np.concatenate([[0], np.cumsum(own)])
         return every[np.repeat(first[words], own) + _places(own)], ends[np.cumsum([0, *map(len, cut)])]
@@ -175,8 +177,8 @@ class Tokenizer:
         if self.db is not None:
             self.db.close()
             self.db = None
-        self.young = {w: ids for w in self.common if len(w) <= LONG_BYTES and (ids := self.young.get(w) or self.old.get(w)) is not None}
-        self.old, self.common = {}, set()
+        self.known = {w: self.known[w] for w in self.common if w in self.known}
+        self.common = set()
         pa.default_memory_pool().release_unused()
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:

@@ -34,7 +34,7 @@ UNIT_BYTES = 4 << 20
 #: Hashes that one range holds on average, whatever the size of the corpus.
 RANGE_HASHES = 1_000_000
 #: Bytes of the input, as its source has them, for each partition of units, and the most partitions there may be.
-PARTITION_BYTES, MOST_PARTITIONS = 16 << 20, 100_000
+PARTITION_BYTES, MOST_PARTITIONS = 8 << 20, 100_000
 
 _OPTIONS = pa.ipc.IpcWriteOptions(compression="zstd")
 

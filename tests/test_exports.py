@@ -141,8 +141,6 @@ def test_analysis_breakdown_of_whole_passages(spark, tmp_path):
     rows = registry.QUERIES["analysis_breakdown"](spark, str(tmp_path)).collect()
     assert {(r.item_id, r.i, r.word, r.sim, r.gain, r.kind) for r in rows} == want and len(rows) == len(want)
     assert {kind for *_, sim, _, kind in want if 0 < sim < 1} == {"ADD"} and any(len(x[2]) > 3 and x[5] == "SUB" for x in want)
-    old = {(r.item_id, r.i) for r in registry.QUERIES["analysis_breakdown"](spark, str(tmp_path)).collect()}
-    assert old < {x[:2] for x in want}
 
 
 def test_the_last_link_of_a_line_stays(spark):

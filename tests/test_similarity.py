@@ -108,6 +108,3 @@ def test_similarity_pairs_of_the_benchmark(spark):
     words = [r.word for r in registry.QUERIES["stem_strip"](spark, tables).collect()]
     got = {(r.a, r.b): r.sim for r in registry.QUERIES["similarity_pairs"](spark, tables).collect()}
     assert got == _by_hand(words, LATIN)
-    some = {(r.a, r.b): r.sim for r in registry.QUERIES["similarity_pairs"](spark, tables).collect()}
-    print(len(words), len(some), len(got))
-    assert some.items() <= got.items() and len(some) < len(got)

@@ -36,4 +36,5 @@ def opening_ratio(ls: DataFrame, script: Script = HEBREW) -> DataFrame:
     rows = ls.where("NOT is_header").where(T.trimmed(F.col("raw")) != "")
     total = rows.agg(F.count("*").alias("total"))
     first = rows.select(F.get(T.words(T.normalized(F.col("raw"), script)), 0).alias("word"))
-    return first.where("word IS NOT NULL").groupBy("word").agg(F.count("*").alias("n")).crossJoin(total).select("word", "n", (F.col("n") / F.col("total")).alias("ratio"))
+    # the lines without a word are left out after the count, as a filter before it would work the words out once more
+    return first.groupBy("word").agg(F.count("word").alias("n")).where("n > 0").crossJoin(total).select("word", "n", (F.col("n") / F.col("total")).alias("ratio"))

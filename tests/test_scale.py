@@ -4,7 +4,8 @@ import time
 
 from pyspark.sql import functions as F
 
-from glossloom.operators import lines
+from glossloom.functions import text as T
+from glossloom.operators import lexicon, lines, runs
 from glossloom.profiles import LATIN
 
 
@@ -16,3 +17,27 @@ def test_titles_of_many_copies_are_aligned_without_making_pairs(spark):
     got = {(r["title"], r["t_id"]): r["n"] for r in lines.aligned(c, t, LATIN).join(c, ["id", "seg_no"]).groupBy("title", "t_id").count().withColumnRenamed("count", "n").collect()}
     assert time.perf_counter() - began < 60
     assert got == {("the of and", n): n // 3, ("the x", None): n // 3, ("of and the far", n + 1): n // 3}
+
+
+def test_texts_are_cut_and_normalised_once(spark):
+    """Filters that the planner derives, or pushes down, would cut and normalise each line again."""
+    docs = spark.createDataFrame([(1, "Où va\r\nthe far côte\n"), (2, None), (3, "")], "id int, text string")
+    ls = lines.lines(docs, "id", F.col("text"))
+    assert sorted((r.id, r.line_no, r.raw) for r in ls.collect()) == [(1, 1, "Où va"), (1, 2, "the far côte"), (1, 3, ""), (3, 1, "")]
+    grams = runs.grams(ls, ["id", "line_no"], T.words(T.normalized(F.col("raw"), LATIN)), "at")
+    assert [tuple(r) for r in grams.collect()] == [(1, 2, 0, "the far c"), (1, 2, 1, "far c te")]
+    opening = lexicon.opening_ratio(ls, LATIN)
+    assert {r.word: (r.n, r.ratio) for r in opening.collect()} == {"o": (1, 0.5), "the": (1, 0.5)}
+    for df in (grams, opening):
+        plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        filters = [x for x in plan if "Filter" in x]
+        assert not [x for x in filters if "split" in x or "translate" in x or "lower" in x]
+
+
+def test_quotes_and_spaces_at_edges(spark):
+    raw = ["'a' \"b\". c\"d '' e'", "''", " \t x ", "x́'´y “z”:", "﻿", "a' \"' b", "#  ", " ## x", "#x"]
+    rows = spark.createDataFrame(list(enumerate(raw)), "i int, raw string")
+    got = rows.select("i", T.normalized(F.col("raw"), LATIN, keep_points=True).alias("n"), T.trimmed(F.col("raw")).alias("t"), T.is_header(F.col("raw")).alias("h")).orderBy("i").collect()
+    assert [r["n"] for r in got] == ["a' b. c\"d e'", "", "x", "x\"y z:", "", "a' b", "", "x", "x"]
+    assert [r["t"] for r in got][2:5] == ["x", raw[3], ""]
+    assert [r["h"] for r in got] == [False] * 7 + [True, False]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from glossloom.functions import text as T
 from glossloom.operators import lexicon, lines, runs
+from glossloom.plans.queries import QUERIES
 from glossloom.profiles import LATIN
 
 
@@ -41,3 +42,18 @@ def test_quotes_and_spaces_at_edges(spark):
     assert [r["n"] for r in got] == ["a' b. c\"d e'", "", "x", "x\"y z:", "", "a' b", "", "x", "x"]
     assert [r["t"] for r in got][2:5] == ["x", raw[3], ""]
     assert [r["h"] for r in got] == [False] * 7 + [True, False]
+
+
+def test_unique_anchors_shuffle_no_pair_of_words_but_the_passages_own(spark, tmp_path):
+    spark.createDataFrame([(1, "far côte x"), (2, "of the x"), (3, "no such"), (4, "one"), (5, "b a"), (5, "b a")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(7, "of the\nof the far c te\nfar c te far c"), (8, "b a"), (8, "b a")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["unique_anchor"](spark, str(tmp_path))
+    assert [tuple(r) for r in found.collect()] == []
+    spark.createDataFrame([(7, "of the\nof the y"), (8, "b a"), (8, "b a"), (9, "far c te far c")], "doc_id long, text string").write.parquet(f"{tmp_path}/more/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/benchmark.parquet").where("item_id <> 5").unionByName(spark.createDataFrame([(6, "b a")], "item_id long, text string")).write.parquet(f"{tmp_path}/more/benchmark.parquet")
+    found = QUERIES["unique_anchor"](spark, f"{tmp_path}/more")
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "far c", 9, 1), (6, "b a", 8, 1)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    explode, semi = (next(i for i, x in enumerate(plan) if what in x) for what in ("Generate posexplode(transform", "LeftSemi"))
+    assert not [x for x in plan[semi:explode] if "Aggregate" in x and "line_no" in x]
+    assert not [x for x in plan if "Aggregate [id" in x]

@@ -100,6 +100,7 @@ class Words:
         self.script, self._stops = script, frozenset(script.stop_words)
         self.stem = lru_cache(200_000)(self._stem)
         self.similarity = lru_cache(200_000)(self._similarity)
+        self.keys = lru_cache(20_000)(self._keys)
 
     def _stem(self, word: str) -> str:
         rest = self._prefix.sub("", word)
@@ -130,6 +131,18 @@ class Words:
         near = 1 - away / long
         return near if away <= (2 if short >= 7 else 1) and near >= LEAST_SIM else 0.0
 
+    def _keys(self, word: str) -> tuple[str, ...]:
+        """What similar words have at least one of in common, unless both stems are long."""
+        s = self.stem(word)
+        left, n = {s}, len(s)
+        if 4 <= n <= Vocabulary.LONG:
+            one = {s[:i] + s[i + 1 :] for i in range(n)}
+            left |= one
+            if n >= 7:
+                left |= {x[:i] + x[i + 1 :] for x in one for i in range(n - 1)}
+        x = self.skeleton(s)
+        return (*left, *(("skeleton " + x,) if len(x) >= 2 else ()))
+
     def weight(self, word: str) -> float:
         bare = self._bare.sub("", word).strip()
         if not bare:
@@ -143,6 +156,52 @@ class Words:
         return min(high, max(low, self.weight(word) * (idf or {}).get(word, 1.0))) if word else 1.0
 
 
+class Vocabulary:
+    """Words of a document, found by how they are spelled: near gives all that are similar to a word without a look at the others.
+
+    As in similar_pairs, what is similar shares its stem, the stem's skeleton, or
+    the stem less one or two letters. Long stems have many of these and few
+    neighbours of their length; they are compared by length.
+    """
+
+    LONG, KEPT = 16, 20_000
+
+    def __init__(self, say: Words, words):
+        self.say, self.known = say, frozenset(words)
+        self._by_key: dict[str, list[str]] = {}
+        self._by_length: dict[int, list[str]] = {}
+        self._near: dict[str, dict[str, float]] = {}
+        self._learned = False
+
+    def _learn(self):
+        self._learned = True
+        for word in self.known:
+            for key in self.say.keys(word):
+                self._by_key.setdefault(key, []).append(word)
+            n = len(self.say.stem(word))
+            if n > self.LONG - 2:
+                self._by_length.setdefault(n, []).append(word)
+
+    def near(self, word: str) -> dict[str, float]:
+        """The similar words with their similarity."""
+        found = self._near.get(word)
+        if found is None:
+            if not self._learned:
+                self._learn()
+            others = {b for key in self.say.keys(word) for b in self._by_key.get(key, ())}
+            n = len(self.say.stem(word))
+            for m in range(n - 2 if n > self.LONG else self.LONG + 1, n + 3):
+                others.update(self._by_length.get(m, ()))
+            found = {b: sim for b in others if (sim := self.say.similarity(word, b)) > 0}
+            if len(self._near) >= self.KEPT:
+                self._near.clear()
+            self._near[word] = found
+        return found
+
+    def similarity(self, a: str, b: str) -> float:
+        return self.near(a).get(b, 0.0) if b in self.known else self.say.similarity(a, b)
+
+
 def edit_distance(a: str, b: str, most: int) -> int:
     """Levenshtein distance, or most + 1 if it is more; only cells near the diagonal are filled."""
     if abs(len(a) - len(b)) > most:

@@ -62,7 +62,7 @@ def link(docs: DataFrame, config: Config) -> DataFrame:
 
 
 def _resolved(batches, config: Config, book):
-    schema = None
+    schema, say = None, S.Words()
     expander = Expander(*config.dictionaries) if config.dictionaries else None
     for batch in batches:
         for i in range(batch.num_rows):
@@ -70,7 +70,7 @@ def _resolved(batches, config: Config, book):
             targets = {r: Target(r, row[r], dict(row[f"{r}_idf"] or ())) for r in TARGETS if row[r]}
             if "source" not in targets:
                 continue
-            done = Resolver(row["commentary"], targets, book, passes_for(book, config.fuzzy), title=config.title, weighted=config.weighted, expander=expander, inherit_on_bare=config.inherit_on_bare).run()
+            done = Resolver(row["commentary"], targets, book, passes_for(book, config.fuzzy), title=config.title, weighted=config.weighted, expander=expander, inherit_on_bare=config.inherit_on_bare, say=say).run()
             out = [_row(row["id"], k, done.links.get(k), done.highlights.get(k)) for k in sorted(done.links.keys() | done.highlights.keys())]
             schema = schema or _arrow()
             yield pa.RecordBatch.from_pylist(out, schema)

@@ -4,6 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from glossloom.functions import similarity
 from glossloom.functions import text as T
 from glossloom.operators import lexicon, lines, runs
 from glossloom.plans.queries import QUERIES
@@ -57,3 +58,22 @@ def test_unique_anchors_shuffle_no_pair_of_words_but_the_passages_own(spark, tmp
     explode, semi = (next(i for i, x in enumerate(plan) if what in x) for what in ("Generate posexplode(transform", "LeftSemi"))
     assert not [x for x in plan[semi:explode] if "Aggregate" in x and "line_no" in x]
     assert not [x for x in plan if "Aggregate [id" in x]
+
+
+def test_similar_words_are_found_by_their_spelling_and_not_one_by_one():
+    import random
+
+    draw = random.Random(7)
+    words = {"".join(draw.choice("אבוי") for _ in range(draw.randint(1, 9))) for _ in range(300)}
+    long = ["".join(draw.choice("גדהט") for _ in range(n)) for n in (13, 14, 15, 16, 17, 18, 19, 40)]
+    words |= {w[:i] + x + w[j:] for w in long for i, j in ((2, 3), (4, 4), (5, 6), (7, 9)) for x in ("", "נ", "נס")} | {"ו" * 2 + w for w in long} | set(long)
+    say = similarity.Words()
+    there = similarity.Vocabulary(say, words)
+    for a in [*words, "", "אב'", long[3][1:], "ש" + long[4]]:
+        assert there.near(a) == {b: s for b in words if (s := say._similarity(a, b)) > 0}
+    unlike = ["".join(draw.choice("גדהטנסעפצקרת") for _ in range(8)) for _ in range(400)]
+    say = similarity.Words()
+    there = similarity.Vocabulary(say, unlike)
+    for a in unlike:
+        there.near(a)
+    assert say.similarity.cache_info().misses < 4_000  # of 160,000 pairs

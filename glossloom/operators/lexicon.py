@@ -32,9 +32,11 @@ def weights(frequency: DataFrame, script: Script = HEBREW) -> DataFrame:
 
 
 def opening_ratio(ls: DataFrame, script: Script = HEBREW) -> DataFrame:
-    """word, share of content lines that it opens."""
+    """word, how many content lines it opens, share of them that it opens."""
     rows = ls.where("NOT is_header").where(T.trimmed(F.col("raw")) != "")
-    total = rows.agg(F.count("*").alias("total"))
-    first = rows.select(F.get(T.words(T.normalized(F.col("raw"), script)), 0).alias("word"))
-    # the lines without a word are left out after the count, as a filter before it would work the words out once more
-    return first.groupBy("word").agg(F.count("word").alias("n")).where("n > 0").crossJoin(total).select("word", "n", (F.col("n") / F.col("total")).alias("ratio"))
+    # lines without a word have an empty one: with a null, a join on the word would put a filter before the count, which works the words out once more
+    first = rows.select(F.coalesce(F.get(T.words(T.normalized(F.col("raw"), script)), 0), F.lit("")).alias("word"))
+    # the words and the total are made of the same counts, so the texts are read once
+    counts = first.groupBy("word").agg(F.count_if(F.col("word") != "").alias("n"), F.count_if(F.col("word") == "").alias("wordless"))
+    total = counts.agg(F.sum(F.col("n") + F.col("wordless")).alias("total"))
+    return counts.where("n > wordless").crossJoin(total).select("word", "n", (F.col("n") / F.col("total")).alias("ratio"))

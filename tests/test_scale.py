@@ -77,3 +77,16 @@ def test_similar_words_are_found_by_their_spelling_and_not_one_by_one():
     for a in unlike:
         there.near(a)
     assert say.similarity.cache_info().misses < 4_000  # of 160,000 pairs
+
+
+def test_the_rarity_gate_reads_each_text_once(spark, tmp_path):
+    """The join on the word put a filter before the count, which normalised each line twice; the total read the documents once more."""
+    spark.createDataFrame([(1, "the far x"), (2, "far"), (3, "of it"), (4, "..."), (5, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, "The a\n\n...\r\nfar\n# far"), (2, None), (3, "the\n" + "x\n" * 200)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["rarity_gate"](spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == [(1, "the", False), (2, "far", True), (3, "of", False), (4, None, None), (5, None, None)]
+    plan = found._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+    assert plan.count("array_remove(split(") == 2  # the passages' and the lines'
+    assert plan.count("FileScan parquet") == 2
+    opening = QUERIES["opening_ratio"](spark, str(tmp_path)).collect()
+    assert {r.word: (r.n, r.ratio) for r in opening} == {"the": (2, round(2 / 204, 9)), "far": (1, round(1 / 204, 9)), "x": (200, round(200 / 204, 9))}

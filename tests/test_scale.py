@@ -90,3 +90,14 @@ def test_the_rarity_gate_reads_each_text_once(spark, tmp_path):
     assert plan.count("FileScan parquet") == 2
     opening = QUERIES["opening_ratio"](spark, str(tmp_path)).collect()
     assert {r.word: (r.n, r.ratio) for r in opening} == {"the": (2, round(2 / 204, 9)), "far": (1, round(1 / 204, 9)), "x": (200, round(200 / 204, 9))}
+
+
+def test_links_by_document_rank_no_lines(spark, tmp_path):
+    """A rank over all lines of a passage was one task for each passage, which held a row for every line."""
+    opening = "one two three four five six seven eight nine ten eleven twelve"
+    spark.createDataFrame([(1, opening + " more"), (2, opening), (3, "one two three four")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(k, f"{opening}\nand {opening}\none two three") for k in range(300)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["links_by_document"](spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == [(k, 2, "1,2") for k in range(300)]
+    ranked = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [row_number()" in x]
+    assert len(ranked) == 1 and "diagonal" in ranked[0]  # the runs' own

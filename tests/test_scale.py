@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from glossloom.functions import similarity
 from glossloom.functions import text as T
-from glossloom.operators import lexicon, lines, runs
+from glossloom.operators import lexicon, lines, quality, runs
 from glossloom.plans.queries import QUERIES
 from glossloom.profiles import LATIN
 
@@ -101,3 +101,14 @@ def test_links_by_document_rank_no_lines(spark, tmp_path):
     assert sorted(map(tuple, found.collect())) == [(k, 2, "1,2") for k in range(300)]
     ranked = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [row_number()" in x]
     assert len(ranked) == 1 and "diagonal" in ranked[0]  # the runs' own
+
+
+def test_ties_are_counted_without_gathering_candidates(spark):
+    """A window over each passage's candidates was one task for all of its lines."""
+    n = 100_000
+    rows = spark.range(n).select(F.lit(1).alias("item_id"), F.when(F.col("id") % 2 == 0, 9).otherwise(F.col("id") % 5).alias("score"))
+    rows = rows.unionByName(spark.createDataFrame([(2, 3), (2, 3), (2, 4), (3, None), (3, None), (4, 0), (4, None), (4, 0)], "item_id int, score long"))
+    found = quality.tied(rows, ["item_id"])
+    assert sorted(map(tuple, found.collect())) == [(1, n // 2), (4, 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan

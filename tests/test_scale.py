@@ -1,5 +1,7 @@
 """What grew faster than its input: each of these took minutes, or far more rows, before."""
 
+import itertools
+import re
 import time
 
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from glossloom.functions import similarity
 from glossloom.functions import text as T
 from glossloom.operators import lexicon, lines, quality, runs
+from glossloom.plans import registry
 from glossloom.plans.queries import QUERIES
 from glossloom.profiles import LATIN
 
@@ -112,3 +115,37 @@ def test_ties_are_counted_without_gathering_candidates(spark):
     assert sorted(map(tuple, found.collect())) == [(1, n // 2), (4, 2)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "Join" not in plan
+
+
+def test_runs_make_no_string_for_each_place_of_a_line(spark, tmp_path):
+    """A string of three words was made, and by interpreted code, for each word of each line."""
+    passages = {1: "a b a b a b c", 2: "the far côte of the far c te of it all and more than twelve words", 3: "x y", 4: "", 5: None, 6: "q q q q q", 7: "a b a b a b c"}
+    texts = {1: "a b a b a b c\nb a b\r\nx y z\n\nq q", 2: "On the far c te: of the, far “c” te of it all and more than twelve words", 3: "", 4: None, 5: "q q q q\n" * 3 + "a b", 6: "c a b a x a b a b"}
+    spark.createDataFrame(list(passages.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, "user", "xy"), (2, 0, "user", "x"), (2, 3, "user", None)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    words = lambda t: re.findall("[a-z0-9]+", (t or "").lower().replace("ô", " "))
+    expected, best = [], {}
+    for item, p in passages.items():
+        a = words(p)[:12]
+        for doc, text in texts.items():
+            for line_no, line in enumerate(re.split("\r?\n", text) if text is not None else [], 1):
+                b = words(line)
+                for s, d in itertools.product(range(len(a)), range(len(b))):
+                    if s and d and a[s - 1] == b[d - 1]:
+                        continue
+                    n = sum(1 for _ in itertools.takewhile(lambda xy: xy[0] == xy[1], zip(a[s:], b[d:])))
+                    if n >= 3:
+                        expected.append((item, doc, line_no, s, d, n))
+                        if s < 3:
+                            best.setdefault(item, {}).setdefault((doc, line_no), []).append(n)
+    assert len(expected) > 20
+    found = QUERIES["exact_run_candidates"](spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
+    ranked = {item: sorted((-max(n), *at) for at, n in per.items()) for item, per in best.items()}
+    top = QUERIES["topk_candidates"](spark, str(tmp_path))
+    assert sorted(map(tuple, top.collect())) == sorted((item, doc, line_no, -n, k) for item, per in ranked.items() for k, (n, doc, line_no) in enumerate(per[:3], 1))
+    for name in ("topk_candidates", "links_csv", "reverse_links", "runner_up_margin", "exact_run_candidates", "cross_references", "mirror_links", "exact_run_links", "links_export"):
+        plan = registry.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert "concat_ws( ," not in plan and "posexplode(transform(" not in plan, name
+        assert plan.count("array_remove(split(") == 2, name  # the passages' and the lines'
